@@ -60,22 +60,21 @@ def shingle_sets(column: pa.Array, n: int) -> list[np.ndarray]:
     return out
 
 
-def _sets(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """kind 0: doc_id, n, sid (128-bit hash of the set), data (the set); kind 1: blocks (n) of the sketch of each task (data)."""
+def _sets(docs: DataFrame, n: int) -> DataFrame:
+    """kind 0: doc_id, n, sid (128-bit hash of the set); kind 1: blocks (n) of the sketch of each task (data)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema({"doc_id": pa.int64(), "n": pa.int32(), "sid": pa.binary(), "data": pa.binary(), "kind": pa.int32()})
-        seen = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+        seen = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
         mask = np.uint64((1 << SKETCH_BITS) - 1)
         for batch in slices(batches, "t"):
             sets = shingle_sets(texts(batch, "t"), n)
-            seen += np.bincount((np.concatenate(sets) & mask).astype(np.int64), minlength=len(seen))
-            data = [s.tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array([len(s) for s in sets], pa.int32()), pa.array([xxhash.xxh3_128_digest(d) for d in data], pa.binary()), pa.array(data, pa.binary()), pa.array([0] * len(sets), pa.int32())], schema=schema)
+            np.add.at(seen, (np.concatenate(sets) & mask).astype(np.int32), 1)
+            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array([len(s) for s in sets], pa.int32()), pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.nulls(len(sets), pa.binary()), pa.array([0] * len(sets), pa.int32())], schema=schema)
         parts = [(i, zlib.compress(b.astype("<u4").tobytes(), 1)) for i, b in enumerate(seen.reshape(-1, BLOCK)) if b.any()]
         yield pa.RecordBatch.from_pydict({"doc_id": [None] * len(parts), "n": [i for i, _ in parts], "sid": [None] * len(parts), "data": [d for _, d in parts], "kind": [1] * len(parts)}, schema=schema)
 
-    return park(docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(run, "doc_id long, n int, sid binary, data binary, kind int"), "kind")
+    return park(docs.mapInArrow(run, "doc_id long, n int, sid binary, data binary, kind int"), "kind")
 
 
 def _summed(blocks: DataFrame, size: int) -> np.ndarray:
@@ -95,21 +94,24 @@ def _summed(blocks: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def _prefixes(sets: DataFrame, order: np.ndarray, num: int, den: int) -> DataFrame:
-    """doc_id, n, sid, prefix (ordered hashes) of each set that isn't empty."""
-    counts = sets.sparkSession.sparkContext.broadcast(order)
+def _prefixes(docs: DataFrame, order: np.ndarray, n: int, num: int, den: int) -> DataFrame:
+    """doc_id, pid (128-bit hash of prefix and size), n, prefix (ordered hashes) of each set that isn't empty."""
+    counts = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, mask = counts.value, np.uint64(len(counts.value) - 1)
-        for batch in batches:
-            out = []
-            for data in batch.column("data").to_pylist():
-                s = np.frombuffer(data, dtype=np.uint64)
-                length = len(s) - -(-len(s) * num // den) + 1
-                out.append(s[np.lexsort((s, seen[(s & mask).astype(np.int64)]))[:length]].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n"), batch.column("sid"), pa.array(out, pa.binary())], names=["doc_id", "n", "sid", "prefix"])
+        for batch in slices(batches, "t"):
+            rows = []
+            for key, s in zip(batch.column("k").to_pylist(), shingle_sets(texts(batch, "t"), n), strict=True):
+                if len(s):
+                    length = len(s) - -(-len(s) * num // den) + 1
+                    prefix = s[np.lexsort((s, seen[(s & mask).astype(np.int64)]))[:length]].tobytes()
+                    rows.append((key, xxhash.xxh3_128_digest(prefix, seed=len(s)), len(s), prefix))
+            if rows:
+                key, pid, size, prefix = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(pid, pa.binary()), pa.array(size, pa.int32()), pa.array(prefix, pa.binary())], names=["doc_id", "pid", "n", "prefix"])
 
-    return sets.select("doc_id", "n", "sid", "data").mapInArrow(run, "doc_id long, n int, sid binary, prefix binary")
+    return docs.mapInArrow(run, "doc_id long, pid binary, n int, prefix binary")
 
 
 def _postings(groups: DataFrame) -> DataFrame:
@@ -128,14 +130,43 @@ def _postings(groups: DataFrame) -> DataFrame:
     return groups.select("prefix", "gid", "n").mapInArrow(run, "token long, gid long, n int, pos int")
 
 
+def _shared(postings: DataFrame) -> DataFrame:
+    """The postings of n-grams that two or more groups hold, each with its hub (gid, n, pos): the group that has the n-gram earliest.
+
+    Rows come ordered by token, so one is kept if a neighbour has its token; tasks stream over any number of rows of a token.
+    """
+    names = ["token", "gid", "n", "pos"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub: tuple | None = None  # of the last row's token: its first row
+        last: tuple | None = None  # the last row so far, if nothing before it has its token
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(c).to_numpy() for c in names]
+            if last is not None:
+                cols = [np.concatenate(([x], c)) for x, c in zip(last, cols, strict=True)]
+            token = cols[0]
+            new = np.concatenate(([hub is None or last is not None or hub[0] != token[0]], token[1:] != token[:-1]))
+            first = np.maximum.accumulate(np.where(new, np.arange(len(token)), -1))
+            hubs = [np.where(first >= 0, c[first], h) for c, h in zip(cols, hub or [0] * 4, strict=True)]
+            keep = ~new | np.concatenate((~new[1:], [False]))
+            last = tuple(c[-1] for c in cols) if new[-1] else None
+            hub = tuple(h[-1] for h in hubs)
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols] + [pa.array(h[keep]) for h in hubs[1:]], names=[*names, "h_gid", "h_n", "h_pos"])
+
+    ordered = postings.repartition("token").sortWithinPartitions("token", "pos", F.xxhash64("gid"))
+    return ordered.mapInArrow(run, "token long, gid long, n int, pos int, h_gid long, h_n int, h_pos int")
+
+
 def _near(num: int, den: int, a: str = "a", b: str = "b") -> Column:
     """Size and position filters of two postings with columns named a_n, a_pos, b_n, b_pos."""
     an, ap, bn, bp = (F.col(x).cast("long") for x in (f"{a}_n", f"{a}_pos", f"{b}_n", f"{b}_pos"))
     return (den * F.least(an, bn) >= num * F.greatest(an, bn)) & ((num + den) * F.least(an - ap, bn - bp) >= num * (an + bn))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough. Only sets that some pair may need are shuffled."""
+def _verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough. Only for documents that some pair may need are sets made and shuffled."""
     spark = pairs.sparkSession
 
     def places(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -153,10 +184,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
         for batch in batches:
             h = batch.column("h").to_numpy()
             kept = batch.filter(pa.array((needed.value[h >> 3] >> (h & 7).astype(np.uint8) & 1).astype(bool)))
-            yield pa.RecordBatch.from_arrays([kept.column("id"), kept.column("data")], names=["id", "data"])
+            for part in slices(iter([kept]), "t"):
+                yield pa.RecordBatch.from_arrays([part.column("k"), pa.array([s.tobytes() for s in shingle_sets(texts(part, "t"), n)], pa.binary())], names=["id", "data"])
 
-    some_sets = park(sets.filter("n > 0 and doc_id is not null").select(F.col("doc_id").alias("id"), "data", place("doc_id").alias("h")).mapInArrow(some, "id long, data binary"))
-    both = pairs.join(some_sets.select(F.col("id").alias("a"), F.col("data").alias("x")), "a").join(some_sets.select(F.col("id").alias("b"), F.col("data").alias("y")), "b")
+    sets = park(docs.filter("k is not null").withColumn("h", place("k")).mapInArrow(some, "id long, data binary").filter("length(data) > 0"))
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("data").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("data").alias("y")), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,27 +235,26 @@ def components(edges: DataFrame) -> DataFrame:
 
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """doc_id, n_shingles and component_id of each row; two documents link when den * intersection >= num * union."""
-    sets_and_sketch = _sets(docs, key, text, n)
-    sets = sets_and_sketch.filter("kind = 0").drop("kind")
-    order = _summed(sets_and_sketch.filter("kind = 1"), 1 << SKETCH_BITS)
-    of_set = park(_prefixes(sets.filter("n > 0 and doc_id is not null"), order, num, den))
-    reps = park(of_set.groupBy("sid").agg(F.min("doc_id").alias("rep")))
-    one = of_set.join(reps, "sid").filter("doc_id = rep").select("rep", "n", "prefix").distinct()
-    # prefixes of the same bytes and size: one group, named after its smallest member
-    grouped = park(one.join(one.groupBy("n", "prefix").agg(F.min("rep").alias("gid"), F.count("*").alias("members")), ["n", "prefix"]))
-    members = grouped.select("gid", "rep")
-    posted = park(_postings(grouped.filter("rep = gid")).withColumn("rank", F.shiftleft(F.col("pos").cast("long"), 32) + F.pmod(F.xxhash64("gid"), F.lit(1 << 31))))
-    shared = posted.groupBy("token").agg(F.count("*").alias("groups"), F.min("rank").alias("hub")).filter("groups > 1").drop("groups")
-    postings = park(posted.join(shared, "token"))
-    a = postings.select("token", *[F.col(c).alias(f"a_{c}") for c in ("gid", "n", "pos")])
-    hubs = postings.filter("rank = hub").select("token", *[F.col(c).alias(f"b_{c}") for c in ("gid", "n", "pos")])
-    to_hub = a.join(hubs, "token").filter((F.col("a_gid") != F.col("b_gid")) & _near(num, den)).select(F.col("a_gid").alias("g"), F.col("b_gid").alias("h"))
+    docs = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
+    found = _sets(docs, n)
+    sets = found.filter("kind = 0").select("doc_id", "n", "sid")
+    order = _summed(found.filter("kind = 1"), 1 << SKETCH_BITS)
+    prefixes = park(_prefixes(docs.filter("k is not null"), order, n, num, den))
+    full = sets.filter("n > 0 and doc_id is not null")
+    reps = park(full.groupBy("sid").agg(F.min("doc_id").alias("rep")))
+    # sets with the same prefix and size: one group, named after its smallest member
+    one = prefixes.select("doc_id", "pid").join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").distinct()
+    grouped = park(one.join(one.groupBy("pid").agg(F.min("doc_id").alias("gid")), "pid").select("gid", "pid", F.col("doc_id").alias("rep")))
+    members = grouped.select("gid", "rep").distinct()
+    named = prefixes.join(grouped.filter("rep = gid").select("gid", "pid", F.col("gid").alias("doc_id")), ["doc_id", "pid"]).select("gid", "n", "prefix", "pid").dropDuplicates(["gid", "pid"])
+    postings = park(_shared(_postings(named)))
+    to_hub = postings.filter("gid <> h_gid").select(*[F.col(x).alias(y) for x, y in (("gid", "g"), ("n", "a_n"), ("pos", "a_pos"), ("h_gid", "h"), ("h_n", "b_n"), ("h_pos", "b_pos"))]).filter(_near(num, den)).select("g", "h")
     in_group = members.filter("rep <> gid").select(F.least("gid", "rep").alias("a"), F.greatest("gid", "rep").alias("b"))
     expanded = to_hub.distinct().join(members.withColumnRenamed("gid", "g"), "g").select(F.least("rep", "h").alias("a"), F.greatest("rep", "h").alias("b"))
     tried = park(expanded.unionByName(in_group).distinct())
-    links = _verified(tried, sets, num, den)
+    links = _verified(tried, docs, n, num, den)
     # rows of one doc_id with several texts
-    own = of_set.select("doc_id", "sid").join(reps, "sid").groupBy("doc_id").agg(F.min("rep").alias("b"), F.collect_set("rep").alias("reps")).filter(F.size("reps") > 1)
+    own = full.select("doc_id", "sid").join(reps, "sid").groupBy("doc_id").agg(F.min("rep").alias("b"), F.collect_set("rep").alias("reps")).filter(F.size("reps") > 1)
     links = park(links.unionByName(own.select(F.explode("reps").alias("a"), "b").filter("a <> b")))
     comps = park(components(links))
 
@@ -240,7 +271,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, n
     group_pairs = group_pairs.select(F.col("a_gid").alias("g"), F.col("b_gid").alias("h")).unionByName(span.filter("low <> high").select(F.col("gid").alias("g"), F.col("gid").alias("h"))).distinct()
     left, right = (labelled.select(F.col("gid").alias(g), F.col("rep").alias(r), F.col("comp").alias(c)) for g, r, c in (("g", "x", "cx"), ("h", "y", "cy")))
     missing = group_pairs.join(left, "g").join(right, "h").filter("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = _verified(park(missing.join(tried, ["a", "b"], "left_anti")), sets, num, den)
+    more = _verified(park(missing.join(tried, ["a", "b"], "left_anti")), docs, n, num, den)
     comps = park(components(links.unionByName(more)))
     rows = sets.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "sid")
     named = label(rows.join(reps, "sid", "left").withColumn("rep", F.when(F.col("n_shingles") > 0, F.col("rep"))), "rep", "component_id")
