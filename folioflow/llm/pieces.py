@@ -17,6 +17,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,13 @@ UNIT = re.compile(r" *[^ ]*")
 M64 = (1 << 64) - 1
 
 
+def skip(key: int, start: int, length: int) -> int:
+    """Keyed hash (32 bits) of a candidate merge: where it starts and how long it is."""
+    h = key ^ (start * 0x9E3779B97F4A7C15 + length * 0xC2B2AE3D27D4EB4F & M64)
+    h = (h ^ (h >> 31)) * 0xBF58476D1CE4E5B9 & M64
+    return (h ^ (h >> 29)) & 0xFFFFFFFF
+
+
 class PieceModel:
     """The pieces of a SentencePiece BPE model, read through the library."""
 
@@ -64,12 +72,41 @@ class PieceModel:
 
     def unit(self, unit: str, key: int, rate: float) -> list[int]:
         """Ids of a unit (spaces not yet escaped) with candidate merges skipped at `rate`."""
-        # a literal mark can't be merged with anything: it stands as None until it becomes bytes
+        if MARK in unit or len(unit) > 48:
+            return self._by_heap(unit, key, rate)
+        # In a short unit the agenda is a list with the rank of each pair of neighbours, whose first minimum is next.
+        parts = list(unit.replace(" ", MARK))
+        get, none, limit = self.rank.get, len(self.pieces), int(rate * (1 << 32))
+        starts = list(range(len(parts)))
+        agenda = [get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while agenda:
+            best = min(agenda)
+            if best == none:
+                break
+            i = agenda.index(best)
+            joined = parts[i] + parts[i + 1]
+            if limit and skip(key, starts[i], len(joined)) < limit:
+                agenda[i] = none
+                continue
+            parts[i] = joined
+            del parts[i + 1], starts[i + 1], agenda[i]
+            if i < len(agenda):
+                agenda[i] = get(joined + parts[i + 1], none)
+            if i:
+                agenda[i - 1] = get(parts[i - 1] + joined, none)
+        out: list[int] = []
+        for p in parts:
+            found = self.ids.get(p)
+            if found is None:
+                out += [self.byte[b] for b in p.encode("utf-8", "surrogatepass")]
+            else:
+                out.append(found)
+        return out
+
+    def _by_heap(self, unit: str, key: int, rate: float) -> list[int]:
+        """The same for units of any length, and for those with a literal mark: None until it becomes bytes, so nothing merges with it."""
         parts: list[str | None] = [None if c == MARK else MARK if c == " " else c for c in unit]
         n = len(parts)
-        whole = self.ids.get("".join(p or "" for p in parts)) if rate == 0 and None not in parts and n == 1 else None
-        if whole is not None:
-            return [whole]
         rank = self.rank
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         agenda: list[tuple[int, int, int, str]] = []
@@ -87,13 +124,10 @@ class PieceModel:
         gone = bytearray(n)
         while agenda:
             _, left, right, joined = heapq.heappop(agenda)
-            if gone[left] or gone[right] or parts[left] + parts[right] != joined or after[left] != right:
+            if gone[left] or gone[right] or after[left] != right or parts[left] + parts[right] != joined:
+                continue
+            if limit and skip(key, left, len(joined)) < limit:
                 continue
-            if limit:
-                h = (key ^ (left * 0x9E3779B97F4A7C15) ^ (len(joined) * 0xC2B2AE3D27D4EB4F)) & M64
-                h = (h ^ (h >> 31)) * 0xBF58476D1CE4E5B9 & M64
-                if (h ^ (h >> 29)) & 0xFFFFFFFF < limit:
-                    continue
             parts[left] = joined
             gone[right] = 1
             after[left] = after[right]
@@ -126,13 +160,14 @@ def _worker(path: str, seed: int, rate: float) -> tuple[PieceModel, Memo]:
     if path not in _models:
         _models[path] = PieceModel(path)
     model = _models[path]
-    kind = "<u2" if len(model.pieces) <= 1 << 16 else "<u4"
+    code = "H" if len(model.pieces) <= 1 << 16 else "I"
 
     def make(words: list[str]) -> list[bytes]:
-        return [np.array(model.unit(w[1:], xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), seed), rate), dtype=kind).tobytes() for w in words]
+        return [array(code, model.unit(w[1:], xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), seed), rate)).tobytes() for w in words]
 
-    memo = _memos.setdefault((path, seed, rate), Memo(make))
-    return model, memo
+    if (path, seed, rate) not in _memos:
+        _memos[path, seed, rate] = Memo(make, 2_000_000)
+    return model, _memos[path, seed, rate]
 
 
 def _encode(column: pa.Array, variants: np.ndarray, model: PieceModel, memo: Memo) -> tuple[np.ndarray, np.ndarray]:
