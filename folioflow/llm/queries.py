@@ -130,8 +130,8 @@ SQL = {
         g AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
         link AS (SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
                  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
-        reach(id, at) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.id, l.b FROM reach r JOIN link l ON r.at = l.a)
-        SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, r.component_id FROM s JOIN (SELECT id, min(at) AS component_id FROM reach GROUP BY id) r ON r.id = s.doc_id""",
+        reach(id, node) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.id, l.b FROM reach r JOIN link l ON r.node = l.a)
+        SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, r.component_id FROM s JOIN (SELECT id, min(node) AS component_id FROM reach GROUP BY id) r ON r.id = s.doc_id""",
     "op6_quality_rules": r"""
         WITH w AS (
             SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
