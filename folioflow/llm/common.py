@@ -40,12 +40,16 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def sampled(df: DataFrame, key: Column, rows: int) -> DataFrame:
-    """About `rows` rows (all, if there are fewer) chosen by a hash of key, so that every row has the same chance."""
+def sampled(df: DataFrame, rows: int) -> DataFrame:
+    """About `rows` rows (all, if there are fewer) chosen by a hash of all their columns, so that every row has the same chance.
+
+    Pass a key such as doc_id along: copies of one text are then chosen one by one, and a large group of them neither fills the
+    sample beyond its bound nor is missing from it.
+    """
     total = df.count()
     if total <= rows:
         return df
-    return df.filter(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 30)) < int(rows / total * (1 << 30)))
+    return df.filter(F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns], F.lit("sample")), F.lit(1 << 30)) < int(rows / total * (1 << 30)))
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

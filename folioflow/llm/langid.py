@@ -37,8 +37,8 @@ class LanguageModel:
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", max_docs: int = 20_000, max_words: int = 9_000, dict_bytes: int = 65_536) -> LanguageModel:
-    """Learns from about max_docs labelled rows (chosen by a hash of their text), max_words words and dict_bytes bytes a language at most."""
-    rows = sampled(docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("l")), F.col("t"), max_docs)
+    """Learns from about max_docs labelled rows (chosen by a hash of the whole row), max_words words and dict_bytes bytes a language at most."""
+    rows = sampled(docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()), max_docs).select(F.col(text).alias("t"), F.col(lang).alias("l"))
     words = rows.select("l", F.explode(F.array_distinct(F.split(F.lower("t"), r"\s+"))).alias("w")).filter((F.length("w") > 0) & (F.length("w") <= 40))
     counts = words.groupBy("l", "w").agg(F.count("*").alias("n")).filter("n > 1 or length(w) <= 8")
     top = counts.withColumn("k", F.row_number().over(Window.partitionBy("l").orderBy(F.desc("n"), "w"))).filter(F.col("k") <= max_words)

@@ -25,13 +25,13 @@ def words(text: Column) -> Column:
 
 
 def fit_posteriors(labelled: DataFrame, text: str = "text", domain: str = "domain", max_rows: int = 12_000, features: int = 1 << 13) -> tuple[object, tuple[str, ...]]:
-    """A classifier of domains, from about max_rows labelled rows (chosen by a hash of the text), and the domains' names."""
+    """A classifier of domains, from about max_rows labelled rows (chosen by a hash of the whole row), and the domains' names."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import HashingTF
 
     from .common import sampled
 
-    rows = sampled(labelled.filter(F.col(domain).isNotNull()).select(F.col(text).alias("t"), F.col(domain).alias("d")), F.col("t"), max_rows)
+    rows = sampled(labelled.filter(F.col(domain).isNotNull()), max_rows).select(F.col(text).alias("t"), F.col(domain).alias("d"))
     names = tuple(sorted(r["d"] for r in rows.select("d").distinct().limit(1000).collect()))
     if len(names) < 2:
         return None, names or ("all",)

@@ -84,13 +84,13 @@ def _paths(node: object, so_far: tuple, out: set) -> None:
 
 
 def fit(rows: DataFrame, label: str = "quality", trees: int = 12, depth: int = 3, penalty: float = 2e-4, max_rows: int = 20_000, seed: int = 7) -> RuleModel:
-    """Learns from about max_rows labelled rows of statistics (chosen by a hash of the statistics)."""
+    """Learns from about max_rows labelled rows of statistics (chosen by a hash of the whole row)."""
     from pyspark.ml.classification import GBTClassifier, LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
     from .common import sampled
 
-    labelled = sampled(rows.filter(F.col(label).isNotNull()).select(*STATISTICS, F.col(label).cast("double").alias("label")), F.struct(*STATISTICS), max_rows).repartition(8).cache()
+    labelled = sampled(rows.filter(F.col(label).isNotNull()), max_rows).select(*STATISTICS, F.col(label).cast("double").alias("label")).repartition(8).cache()
     try:
         counts = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
         ones, every = counts.get(1.0, 0), sum(counts.values())

@@ -55,7 +55,7 @@ def bigrams(run: str) -> np.ndarray:
 
 
 def fit(docs: DataFrame, text: str = "text", max_docs: int = 40_000) -> np.ndarray:
-    """The log-likelihood ratio of each bigram (random over ordinary), from about max_docs rows chosen by a hash of their text."""
+    """The log-likelihood ratio of each bigram (random over ordinary), from about max_docs rows chosen by a hash of the whole row."""
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = np.zeros((2, N * N), dtype=np.int64)
@@ -72,7 +72,7 @@ def fit(docs: DataFrame, text: str = "text", max_docs: int = 40_000) -> np.ndarr
         kind, pair = np.nonzero(seen)
         yield pd.DataFrame({"kind": kind, "pair": pair, "n": seen[kind, pair]})
 
-    rows = sampled(docs.filter(F.length(text) > 0).select(F.col(text).alias("t")), F.col("t"), max_docs)
+    rows = sampled(docs.filter(F.length(text) > 0), max_docs).select(F.col(text).alias("t"))
     counts = np.zeros((2, N, N))
     for kind, pair, n in rows.mapInPandas(count, "kind long, pair long, n long").groupBy("kind", "pair").agg(F.sum("n")).collect():
         counts[kind, pair // N, pair % N] = n  # 2 * 67 * 67 rows at most
