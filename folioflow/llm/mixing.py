@@ -83,11 +83,29 @@ def rate(p: Column, steps: tuple[tuple[float, ...], ...] | list[tuple[float, ...
     return F.aggregate(gradients, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - F.aggregate(F.zip_with(p, g, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)))
 
 
-def fit_rates(docs: DataFrame, weights: tuple[float, ...], steps: int = 40, tolerance: float = 1e-3) -> Mix:
-    """Fits the rates of documents (n_tokens, p) so that the domains' shares of expected tokens are `weights`."""
+def within_supply(weights: tuple[float, ...], totals: list[float], grow: tuple[bool, ...]) -> tuple[float, ...]:
+    """Weights where a domain that may not grow has at most its present share of tokens; those that may grow share the rest."""
+    every = sum(totals)
+    live = [w if t > 0 else 0.0 for w, t in zip(weights, totals, strict=True)]
+    if every <= 0 or sum(w for w, g in zip(live, grow, strict=True) if g) <= 0:
+        return weights
+    norm = sum(live)
+    held = [0.0 if g else min(w / norm, t / every) for w, t, g in zip(live, totals, grow, strict=True)]
+    rest = (1 - sum(held)) / sum(w for w, g in zip(live, grow, strict=True) if g)
+    return tuple(w * rest if g else h for w, h, g in zip(live, held, grow, strict=True))
+
+
+def fit_rates(docs: DataFrame, weights: tuple[float, ...], steps: int = 40, tolerance: float = 1e-3, grow: tuple[bool, ...] | None = None) -> Mix:
+    """Fits the rates of documents (n_tokens, p) so that the domains' shares of expected tokens are `weights`.
+
+    grow says which domains may be used more than they are there (all, if it is not given): a scarce domain that may not grow keeps
+    its present share as its target instead of being repeated many times.
+    """
     k = len(weights)
     sums = lambda r: [F.sum(F.col("n_tokens") * F.get("p", F.lit(i)) * r).alias(f"e{i}") for i in range(k)]
     at_one = [x or 0.0 for x in docs.agg(*sums(F.lit(1.0))).first()]
+    if grow is not None:
+        weights = within_supply(weights, at_one, grow)
     live = [i for i in range(k) if at_one[i] > 0]
     scale = sum(at_one) / sum(weights[i] for i in live) if live and sum(weights[i] for i in live) > 0 else 0.0
     targets = tuple(weights[i] * scale if i in live else 0.0 for i in range(k))

@@ -76,6 +76,12 @@ def op8_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Domains of the labelled table, and the share of expected tokens that each shall have.
 DOMAIN = "CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 1 THEN 'good' WHEN quality = 0 THEN 'poor' END"
 MIX = {"good": 0.97, "poor": 0.025, "toxic": 0.005}
+#: Domains that may be repeated to reach their share; poor and toxic documents never are.
+GROW = {"good", "all"}
+
+
+def rates(found: DataFrame, names: tuple[str, ...]) -> mixing.Mix:
+    return mixing.fit_rates(found.select("n_tokens", "p"), tuple(MIX.get(n, 0.0) for n in names), grow=tuple(n in GROW for n in names))
 
 
 def mixed(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
@@ -83,7 +89,7 @@ def mixed(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, tuple[str, ...
     labelled = docs.select("doc_id", "text").join(labels.select("doc_id", F.expr(DOMAIN).alias("domain")), "doc_id")
     model, names = mixing.fit_posteriors(labelled)
     found = park(mixing.posteriors(docs, model, names))
-    mix = mixing.fit_rates(found.select("n_tokens", "p"), tuple(MIX.get(n, 0.0) for n in names))
+    mix = rates(found, names)
     return found.withColumn("rate", mix.rate(F.col("p"))), names
 
 
@@ -92,7 +98,7 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = docs.join(table(spark, sf_dir, "labels").select("doc_id", F.expr(DOMAIN).alias("domain")), "doc_id")
     model, names = mixing.fit_posteriors(labelled)
     found = park(mixing.posteriors(docs, model, names).select("doc_id", "n_tokens", "p"))
-    mix = mixing.fit_rates(found, tuple(MIX.get(n, 0.0) for n in names))
+    mix = rates(found, names)
     best = F.array_max(F.transform("p", lambda x, i: F.struct(x.alias("x"), (-i).alias("i"))))["i"]
     rated = found.withColumn("rate", mix.rate(F.col("p")))
     return rated.select("doc_id", "n_tokens", F.get(F.array(*map(F.lit, names)), -best).alias("domain"), *[F.get("p", F.lit(i)).alias(f"p_{n}") for i, n in enumerate(names)], "rate", mixing.copies(F.col("rate"), F.col("doc_id")).alias("copies"))

@@ -186,3 +186,12 @@ def test_both_agendas_give_the_same_pieces():
     model, _ = pieces._worker(path, 1, 0.0)
     units = {u for w in LONG.split() + SAME.split() + ["internationalisation,", "日本語", "x" * 40, "don't"] for u in (" " + w, w, "  " + w)}
     assert all(model.unit(u, k, rate) == model._by_heap(u, k, rate) for k, u in enumerate(sorted(units)) for rate in (0.0, 0.2, 0.7))
+
+
+def test_scarce_domains_keep_their_share() -> None:
+    from folioflow.llm.mixing import within_supply
+
+    grow = (True, False, False)
+    held = within_supply((0.97, 0.025, 0.005), [900.0, 1.0, 99.0], grow)
+    assert abs(held[1] - 0.001) < 1e-12 and abs(held[2] - 0.005) < 1e-12 and abs(sum(held) - 1) < 1e-12
+    assert within_supply((0.97, 0.025, 0.005), [0.0, 1.0, 99.0], grow) == (0.97, 0.025, 0.005)  # nothing that may grow is there
