@@ -33,6 +33,8 @@ from .words import Memo, coded, spread
 MARK = "▁"
 UNIT = re.compile(r" *[^ ]*")
 M64 = (1 << 64) - 1
+#: Text that is encoded and decoded at a time: the places of ids and bytes take many times its size.
+SLICE_BYTES = 1 << 20
 
 
 def skip(key: int, start: int, length: int) -> int:
@@ -166,7 +168,7 @@ def _worker(path: str, seed: int, rate: float) -> tuple[PieceModel, Memo]:
         return [array(code, model.unit(w[1:], xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), seed), rate)).tobytes() for w in words]
 
     if (path, seed, rate) not in _memos:
-        _memos[path, seed, rate] = Memo(make, 2_000_000)
+        _memos[path, seed, rate] = Memo(make, 600_000)
     return model, _memos[path, seed, rate]
 
 
@@ -213,7 +215,7 @@ def _coded(docs: DataFrame, model_path: str, seed: int, rate: float, variants: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, memo = _worker(model_path, seed, rate)
-        for batch in slices(batches, text, 6 << 20):
+        for batch in slices(batches, text, SLICE_BYTES):
             column = texts(batch, text)
             ids, ends = _encode(column, batch.column("_variant").to_numpy(), model, memo)
             back, stops = model.decode(ids, ends)
