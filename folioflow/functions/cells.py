@@ -42,3 +42,9 @@ def sheet_name(name: Column) -> Column:
 def extension(name: Column) -> Column:
     """Lower-cased text after the last dot; none for names that start or end with it."""
     return F.lower(F.regexp_extract(name, r"^.+\.([^./]+)$", 1))
+
+
+def readable_size(size: Column) -> Column:
+    """Bytes for a sentence: whole MB, or GB with one decimal from 1024 MB on."""
+    mb = size / (1 << 20)
+    return F.when(mb >= 1024, F.format_string("%.1f GB", mb / 1024)).otherwise(F.concat(F.floor(mb + 0.5).cast("string"), F.lit(" MB")))

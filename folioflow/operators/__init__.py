@@ -31,3 +31,18 @@ def unique_names(files: DataFrame, name: str, order: str) -> DataFrame:
     """Later files of one name get -2, -3, ... before the extension."""
     n = F.row_number().over(Window.partitionBy(name).orderBy(order))
     return files.withColumn("unique_name", F.when(n == 1, F.col(name)).otherwise(F.concat(F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1), F.lit("-"), n, F.regexp_extract(name, r"(\.[^.]*)?$", 1))))
+
+
+def line_islands(lines: DataFrame, keys: list[str], order: str, page: str, y: str, size: str, text: str) -> DataFrame:
+    """Numbers the paragraphs of placed lines: one begins on a new page, below a gap of over 1.8 sizes, or behind an ended sentence."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    before = lambda c: F.lag(c).over(w)
+    starts = before(page).isNull() | (before(page) != F.col(page)) | (before(y) - F.col(y) > F.col(size) * 1.8) | F.coalesce(before(text), F.lit("")).rlike(r"[.!?:]\s*$")
+    return islands(lines.withColumn("_starts", starts), keys, [order], F.col("_starts"), "paragraph").drop("_starts")
+
+
+def pipe_tables(rows: DataFrame, key: str, order: list[str], header: str, line: Column) -> DataFrame:
+    """key and table: the header, its rule and each group's lines in order, as one text."""
+    width = header.count("|") - 1
+    listed = F.array_sort(F.collect_list(F.struct(*order, line.alias("line"))))
+    return rows.groupBy(key).agg(F.concat(F.lit(f"{header}\n|{' --- |' * width}\n"), F.array_join(F.transform(listed, lambda x: x["line"]), "\n")).alias("table"))

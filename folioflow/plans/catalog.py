@@ -21,6 +21,11 @@ EDGES = (
     ("csv", "xlsx", "exact", 310, 5.95), ("csv", "md", "good", 45, 1.46), ("csv", "txt", "exact", 5, 1.0), ("json", "xlsx", "good", 145, 2.18), ("pptx", "txt", "lossy", 5, 0.03),
     ("pptx", "md", "lossy", 5, 0.03), ("odp", "txt", "lossy", 5, 0.12), ("odp", "md", "lossy", 10, 0.13), ("md", "pptx", "good", 320, 31.13), ("md", "odp", "good", 105, 0.04),
 )
+# Other names of formats in file extensions.
+ALIASES = (
+    ("markdown", "md"), ("mdown", "md"), ("mkd", "md"), ("text", "txt"), ("tsv", "csv"), ("htm", "html"), ("xhtml", "html"), ("fodt", "odt"),
+    ("ott", "odt"), ("ots", "ods"), ("otp", "odp"),
+)
 TEXT = tuple(f for f, family in FORMATS if family == "text")
 SHEET = tuple(f for f, family in FORMATS if family == "sheet")
 SLIDES = tuple(f for f, family in FORMATS if family == "slides")

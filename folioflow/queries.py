@@ -11,6 +11,7 @@ from . import operators as O
 from .functions import cells as C
 from .functions import markup as M
 from .plans import routes as R
+from .plans.catalog import ALIASES, FORMATS, values
 from .sources import document_sizes, table
 
 SIZES = """sizes AS (
@@ -26,6 +27,11 @@ NOTES = """notes AS (
     UNION ALL SELECT n_regionkey, 2 + 3 * n_nationkey, '- `' || n_name || '` in ' || CAST(n_regionkey AS VARCHAR(9)) FROM nation UNION ALL SELECT n_regionkey, 3 + 3 * n_nationkey, '> ' || n_name FROM nation WHERE n_nationkey % 2 = 0)"""
 
 
+#: Names of extensions with the format each stands for, and what the first bytes say.
+KNOWN = values("known", "name, format", [*[(f, f) for f, _ in FORMATS], *ALIASES])
+HEAD = "CASE WHEN head IS NULL OR head = '' THEN 'empty' WHEN head LIKE '%PDF%' AND substr(head, 1, 4) = '%PDF' THEN 'pdf' WHEN substr(head, 1, 4) = 'PK' || chr(3) || chr(4) THEN 'archive' WHEN head = '{' || chr(92) || 'rtf' THEN 'rtf' ELSE 'text' END"
+
+
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     region, nation = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
     key, name = F.col("n_nationkey"), F.col("n_name")
@@ -190,6 +196,34 @@ def delimiters(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").select("doc_id", *counts).select("doc_id", F.when(best == 0, ",").when(n[0] == best, ",").when(n[1] == best, ";").when(n[2] == best, "\t").otherwise("|").alias("delimiter"))
 
 
+def page_formats(s: SparkSession, d: str) -> DataFrame:
+    pages = table(s, d, "pages").select("page_id", C.extension(F.regexp_replace("url", "[?#].*$", "")).alias("ext"), F.substring("html", 1, 5).alias("head"))
+    found = pages.join(F.broadcast(s.sql(f"WITH {KNOWN} SELECT name, format FROM known")), F.col("ext") == F.col("name"), "left")
+    return found.select("page_id", F.coalesce("format", F.lit("")).alias("claimed"), F.expr(HEAD).alias("found"))
+
+
+def matrix_totals(s: SparkSession, d: str) -> DataFrame:
+    reach = s.sql(R.planner("SELECT src, count_if(via = '') AS direct, count_if(via <> '') AS routed FROM routes GROUP BY src"))
+    refused = s.sql(R.planner("SELECT src, count(*) AS refused FROM refused GROUP BY src"))
+    by_format = document_sizes(s, d).groupBy(F.col("fmt").alias("src")).agg(F.count("*").alias("n_docs"))
+    return by_format.join(F.broadcast(reach), "src").join(F.broadcast(refused), "src", "left").select("src", "n_docs", "direct", "routed", F.coalesce("refused", F.lit(0)).cast("long").alias("refused"))
+
+
+def line_paragraphs(s: SparkSession, d: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    lines = table(s, d, "conversations").select("conv_id", "turn", F.floor(F.col("turn") / 4).alias("page"), (800 - 20 * F.col("turn") - F.length(text) % 8).alias("y"), F.lit(12).alias("size"), text.alias("text"))
+    return O.line_islands(lines, ["conv_id"], "turn", "page", "y", "size", "text").groupBy("conv_id", "paragraph").agg(F.count("*").alias("n_lines"), F.min("turn").cast("long").alias("first_turn"), F.sum(F.length("text")).alias("n_chars"))
+
+
+def turn_tables(s: SparkSession, d: str) -> DataFrame:
+    return O.pipe_tables(table(s, d, "conversations"), "conv_id", ["turn"], "| role | text |", C.pipe_line(F.col("role"), F.col("text")))
+
+
+def readable_sizes(s: SparkSession, d: str) -> DataFrame:
+    sizes = table(s, d, "documents").groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"))
+    return sizes.select("source", "bytes", C.readable_size(F.col("bytes")).alias("size"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, f in globals().items() if n in SQL}
 
@@ -230,4 +264,9 @@ SQL = {
     "non_latin": r"SELECT doc_id, CAST(length(regexp_replace(text, '[\x00-\x{17F}]', '', 'g')) AS BIGINT) AS undrawable FROM documents",
     "escaped_xml": "SELECT doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;') AS xml FROM documents",
     "delimiters": "WITH h AS (SELECT doc_id, regexp_replace(array_to_string(string_split(coalesce(text, ''), chr(10))[1:20], chr(10)), '\"[^\"]*\"', '', 'g') AS t FROM documents), n AS (SELECT doc_id, length(t) - length(replace(t, ',', '')) AS a, length(t) - length(replace(t, ';', '')) AS b, length(t) - length(replace(t, chr(9), '')) AS c, length(t) - length(replace(t, '|', '')) AS p FROM h) SELECT doc_id, CASE WHEN greatest(a, b, c, p) = a THEN ',' WHEN greatest(b, c, p) = b THEN ';' WHEN greatest(c, p) = c THEN chr(9) ELSE '|' END AS delimiter FROM n",
+    "page_formats": rf"WITH {KNOWN}, p AS (SELECT page_id, lower(regexp_extract(regexp_replace(url, '[?#].*$', ''), '^.+\.([^./]+)$', 1)) AS ext, substr(html, 1, 5) AS head FROM pages) SELECT page_id, coalesce(format, '') AS claimed, {HEAD} AS found FROM p LEFT JOIN known ON name = ext",
+    "matrix_totals": R.planner("SELECT 1").removesuffix("SELECT 1") + f", {SIZES}, c AS (SELECT fmt, count(*) AS n_docs FROM sizes GROUP BY fmt) SELECT fmt AS src, n_docs, (SELECT count(*) FROM routes WHERE src = fmt AND via = '') AS direct, (SELECT count(*) FROM routes WHERE src = fmt AND via <> '') AS routed, (SELECT count(*) FROM refused WHERE src = fmt) AS refused FROM c",
+    "line_paragraphs": r"WITH l AS (SELECT conv_id, turn, coalesce(text, '') AS t, turn // 4 AS page, 800 - 20 * turn - length(coalesce(text, '')) % 8 AS y FROM conversations), b AS (SELECT *, CASE WHEN lag(page) OVER w IS NULL OR lag(page) OVER w <> page OR lag(y) OVER w - y > 21.6 OR regexp_matches(lag(t) OVER w, '[.!?:]\s*$') THEN 1 ELSE 0 END AS b FROM l WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), i AS (SELECT *, CAST(sum(b) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS paragraph FROM b) SELECT conv_id, paragraph, count(*) AS n_lines, CAST(min(turn) AS BIGINT) AS first_turn, CAST(sum(length(t)) AS BIGINT) AS n_chars FROM i GROUP BY conv_id, paragraph",
+    "turn_tables": "SELECT conv_id, '| role | text |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || replace(replace(coalesce(role, ''), '|', '\\|'), chr(10), ' ') || ' | ' || replace(replace(coalesce(text, ''), '|', '\\|'), chr(10), ' ') || ' |', chr(10) ORDER BY turn) AS \"table\" FROM conversations GROUP BY conv_id",
+    "readable_sizes": "SELECT coalesce(source, '') AS source, CAST(coalesce(sum(strlen(text)), 0) AS BIGINT) AS bytes, CASE WHEN coalesce(sum(strlen(text)), 0) >= 1073741824 THEN printf('%.1f GB', sum(strlen(text)) / 1073741824.0) ELSE CAST(CAST(floor(coalesce(sum(strlen(text)), 0) / 1048576.0 + 0.5) AS BIGINT) AS VARCHAR) || ' MB' END AS size FROM documents GROUP BY 1",
 }
