@@ -1,9 +1,10 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
-A run holds one row for each line key of a batch: its 128-bit hash, in how many documents it was found and the largest doc_id of
-those. Runs are tables bucketed and sorted by the hash, so that a new batch meets them in a merge join without a shuffle: the anti
-join tells which keys are new, and the batch's own counts become a run of level 0. Once a level has `fan_out` runs they are
-compacted into one run of the next level, so a key is rewritten only as often as there are levels.
+A batch holds one row for each line key: its 128-bit hash, in how many documents it was found and the largest doc_id of those. It is
+merge-anti-joined with the runs, and a run of two parts comes of it: the keys that no run held, and updates, the batch's counts of
+keys that were known. So each key is in one run alone, and what later batches say of it are updates; both parts are tables bucketed
+and sorted by the hash, so that the joins need no shuffle. Once a level has `fan_out` runs they are compacted into one run of the
+next level, so a key is rewritten only as often as there are levels.
 
 Dropping works the same at every size: keys found in enough documents are merge-joined with the documents' lines, the matching
 places gathered by document, and the texts filtered.
@@ -16,6 +17,7 @@ counts once; a null doc_id counts but is never the largest, and if a key has no
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,12 +41,12 @@ def keyed_lines(docs: DataFrame, key: str, text: str, min_chars: int) -> DataFra
 
 
 class LineRuns:
-    """The runs of one corpus, as bucketed tables below `folder`."""
+    """The runs of one corpus, as bucketed tables below `folder`; a run is the names of its keys and its updates."""
 
     def __init__(self, spark: SparkSession, folder: str | None = None, buckets: int | None = None, fan_out: int = 4):
         self.spark, self.folder, self.fan_out = spark, folder or shared_dir(spark), fan_out
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.levels: list[list[str]] = [[]]
+        self.levels: list[list[tuple[str, str]]] = [[]]
 
     def _write(self, counts: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
@@ -52,54 +54,64 @@ class LineRuns:
         placed.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", f"{self.folder}/{name}").saveAsTable(name)
         return name
 
-    def _runs(self) -> list[str]:
-        return [name for level in self.levels for name in level]
+    def _runs(self) -> list[tuple[str, str]]:
+        return [run for level in self.levels for run in level]
+
+    def _without(self, counts: DataFrame, name: str) -> DataFrame:
+        return counts.join(self.spark.table(name).select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
 
     def new_keys(self, counts: DataFrame) -> DataFrame:
         """The rows of a batch's counts whose key no run holds: one merge anti-join after another."""
-        for name in self._runs():
-            counts = counts.join(self.spark.table(name).select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
+        for keys, _ in self._runs():
+            counts = self._without(counts, keys)
         return counts
 
     def add(self, lines: DataFrame) -> DataFrame:
         """Adds a batch (row, doc_id, h1, h2); returns its keys that were new: h1, h2, n_docs, max_doc."""
         once = lines.groupBy("h1", "h2", "row").agg(F.max("doc_id").alias("doc_id"))
-        counts = once.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc"))
-        name = self._write(counts)
-        new = self.new_keys(self.spark.table(name))
-        self.levels[0].append(name)
+        batch = self._write(once.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc")))
+        keys = self._write(self.new_keys(self.spark.table(batch))) if self._runs() else batch
+        self.levels[0].append((keys, self._write(self._without(self.spark.table(batch), keys))))
         self._compact()
-        return new
+        return self.spark.table(keys)
 
     def _compact(self) -> None:
         for i, level in enumerate(self.levels):
             if len(level) >= self.fan_out:
                 if i + 1 == len(self.levels):
                     self.levels.append([])
-                self.levels[i + 1].append(self._write(self._merged(level)))
+                keys, updates = zip(*level, strict=True)
+                self.levels[i + 1].append((self._write(self._every(keys)), self._write(self._merged(updates))))
                 self.levels[i] = []
 
-    def _merged(self, names: list[str]) -> DataFrame:
+    def _every(self, names: Sequence[str]) -> DataFrame:
         every = self.spark.table(names[0])
         for name in names[1:]:
             every = every.unionByName(self.spark.table(name))
-        return every.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"))
+        return every
+
+    def _merged(self, names: Sequence[str]) -> DataFrame:
+        return self._every(names).groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"))
 
     def counts(self) -> DataFrame:
-        """h1, h2, n_docs, max_doc over all batches."""
-        return self._merged(self._runs())
+        """h1, h2, n_docs, max_doc over all batches: the keys with their updates."""
+        keys, updates = zip(*self._runs(), strict=True)
+        later = self._merged(updates).withColumnsRenamed({"n_docs": "n_later", "max_doc": "max_later"})
+        total = F.col("n_docs") + F.coalesce("n_later", F.lit(0))
+        return self._every(keys).join(later, ["h1", "h2"], "left").select("h1", "h2", total.alias("n_docs"), F.greatest("max_doc", "max_later").alias("max_doc"))
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 20, min_docs: int = 3, batches: int = 3) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 20, min_docs: int = 3, batches: int = 5) -> DataFrame:
     """The documents without lines that at least min_docs documents hold, except in the largest key; adds n_lines and n_dropped.
 
-    The lines go into the runs in `batches` batches by a hash of the row, as arriving data would.
+    The lines go into the runs in `batches` batches by a hash of the row, as arriving data would; with five, the first four are
+    compacted and the last meets the run of the second level.
     """
     numbered = docs.drop("n_lines", "n_dropped").withColumn("row", F.xxhash64(F.col(key).cast("string"), F.coalesce(F.col(text), F.lit(""))))
-    lines = park(keyed_lines(numbered, key, text, min_chars))
+    lines = park(keyed_lines(numbered, key, text, min_chars).withColumn("batch", F.pmod("row", F.lit(batches)).cast("int")), "batch")
     runs = LineRuns(docs.sparkSession)
     for i in range(batches):
-        runs.add(lines.filter(F.pmod("row", F.lit(batches)) == i))
+        runs.add(lines.filter(F.col("batch") == i))
     common = runs.counts().filter(F.col("n_docs") >= min_docs)
     gone = lines.join(common, ["h1", "h2"]).filter(F.col("doc_id") < F.col("max_doc"))
     places = gone.groupBy("row").agg(F.collect_set("pos").alias("gone"))

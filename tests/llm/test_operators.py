@@ -195,3 +195,24 @@ def test_scarce_domains_keep_their_share() -> None:
     held = within_supply((0.97, 0.025, 0.005), [900.0, 1.0, 99.0], grow)
     assert abs(held[1] - 0.001) < 1e-12 and abs(held[2] - 0.005) < 1e-12 and abs(sum(held) - 1) < 1e-12
     assert within_supply((0.97, 0.025, 0.005), [0.0, 1.0, 99.0], grow) == (0.97, 0.025, 0.005)  # nothing that may grow is there
+
+
+def test_line_runs_hold_each_key_once_and_are_compacted(spark, odd, monkeypatch):
+    docs = odd.select("doc_id", "text").unionByName(spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id + 1000 as doc_id", "text"))
+    made = []
+
+    class Kept(line_dedup.LineRuns):
+        def __init__(self, *args, **more):
+            super().__init__(*args, **more)
+            made.append(self)
+
+    monkeypatch.setattr(line_dedup, "LineRuns", Kept)
+    one, some, many = (sorted(map(repr, line_dedup.dedup_lines(docs, **more).collect())) for more in ({"batches": 1}, {}, {"batches": 9}))
+    assert one == some == many and [[len(x) for x in runs.levels] for runs in made] == [[1], [1, 1], [1, 2]]
+    whole, *others = ({(r.h1, r.h2): (r.n_docs, r.max_doc) for r in runs.counts().collect()} for runs in made)
+    assert all(whole == other for other in others) and max(n for n, _ in whole.values()) > 5
+    for runs in made:
+        names = [keys for keys, _ in runs._runs()]
+        assert sum(spark.table(x).count() for x in names) == len(whole)
+        plan = runs.new_keys(spark.table(names[0]))._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "LeftAnti" in plan and "Exchange" not in plan
