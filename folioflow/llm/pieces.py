@@ -2,14 +2,16 @@
 
 A text is escaped as the model wants it (a space in front, spaces as U+2581) and cut into units, each a run of U+2581 with what
 follows it; no piece of a BPE model reaches over such a cut. In a unit, an agenda holds the candidate merges, best piece first, then
-leftmost. A candidate taken from the agenda is skipped if its keyed hash (seed, variant, unit, place) falls below the dropout rate;
-the rest is the usual merging. With rate 0 the pieces are those of the sentencepiece library.
+leftmost. A candidate taken from the agenda is skipped if its keyed hash (seed, document key, the unit's place in the document, place
+in the unit) falls below the dropout rate; the rest is the usual merging. With rate 0 the pieces are those of the sentencepiece library.
 
-A document's variant is a hash of its key and the seed, out of `variants`; so a word is cut in several ways across the corpus, each
-document is cut the same way by whichever task, and a worker can remember units. Characters without a piece become byte pieces, as
-does a literal U+2581, which would otherwise come back as a space: decoding gives back every text exactly.
+So each occurrence of a word is cut by itself. A worker remembers, for short units, the merges that follow if no further candidate is
+skipped; hashes are then taken for many occurrences at once, and an occurrence with a skip goes on from what is remembered of the
+unit after that skip. Longer units are merged one by one. Characters without a piece become byte pieces, as does a literal U+2581,
+which would otherwise come back as a space: decoding gives back every text exactly.
 
-Cases: null and empty texts have no pieces and decode to ""; a null key has a variant like any other; repeated rows get equal ids.
+Cases: null and empty texts have no pieces and decode to ""; a null key hashes like any other; rows that repeat a key and text get
+equal ids, whichever task has them.
 """
 
 from __future__ import annotations
@@ -18,28 +20,38 @@ import heapq
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import slices, texts
-from .words import Memo, coded, spread
+from .words import coded, spread
 
 MARK = "▁"
 UNIT = re.compile(r" *[^ ]*")
 M64 = (1 << 64) - 1
 #: Text that is encoded and decoded at a time: the places of ids and bytes take many times its size.
 SLICE_BYTES = 1 << 20
+#: Units up to this length are remembered; longer ones take so many skips that what is remembered of them is seldom met again.
+SHORT = 20
+GOLDEN, PLACE, LENGTH = 0x9E3779B97F4A7C15, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+
+
+def occurrences(documents: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Keys (64 bits) of the units at these places of documents with these hashes."""
+    h = documents.astype(np.int64).view(np.uint64) + (places.astype(np.uint64) + np.uint64(1)) * np.uint64(GOLDEN)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
 
 def skip(key: int, start: int, length: int) -> int:
     """Keyed hash (32 bits) of a candidate merge: where it starts and how long it is."""
-    h = key ^ (start * 0x9E3779B97F4A7C15 + length * 0xC2B2AE3D27D4EB4F & M64)
+    h = key ^ (start * PLACE + length * LENGTH & M64)
     h = (h ^ (h >> 31)) * 0xBF58476D1CE4E5B9 & M64
     return (h ^ (h >> 29)) & 0xFFFFFFFF
 
@@ -72,13 +84,29 @@ class PieceModel:
         self.surface_n = np.array([len(x) for x in surface])
         self.surface_at = np.cumsum(self.surface_n) - self.surface_n
 
+    def follow(self, unit: str, skips: set[tuple[int, int]]) -> tuple[list[int], list[tuple[int, int]]]:
+        """Ids of a short unit where just these candidates (start, length) are skipped, and the merges made, in order."""
+        merges: list[tuple[int, int]] = []
+
+        def skipped(start: int, length: int) -> bool:
+            if (start, length) in skips:
+                return True
+            merges.append((start, length))
+            return False
+
+        return self._by_list(unit, skipped), merges
+
     def unit(self, unit: str, key: int, rate: float) -> list[int]:
         """Ids of a unit (spaces not yet escaped) with candidate merges skipped at `rate`."""
         if MARK in unit or len(unit) > 48:
             return self._by_heap(unit, key, rate)
-        # In a short unit the agenda is a list with the rank of each pair of neighbours, whose first minimum is next.
+        limit = int(rate * (1 << 32))
+        return self._by_list(unit, (lambda start, length: skip(key, start, length) < limit) if limit else None)
+
+    def _by_list(self, unit: str, skipped: Callable[[int, int], bool] | None) -> list[int]:
+        """In a short unit the agenda is a list with the rank of each pair of neighbours, whose first minimum is next."""
         parts = list(unit.replace(" ", MARK))
-        get, none, limit = self.rank.get, len(self.pieces), int(rate * (1 << 32))
+        get, none = self.rank.get, len(self.pieces)
         starts = list(range(len(parts)))
         agenda = [get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
         while agenda:
@@ -87,7 +115,7 @@ class PieceModel:
                 break
             i = agenda.index(best)
             joined = parts[i] + parts[i + 1]
-            if limit and skip(key, starts[i], len(joined)) < limit:
+            if skipped and skipped(starts[i], len(joined)):
                 agenda[i] = none
                 continue
             parts[i] = joined
@@ -153,81 +181,138 @@ class PieceModel:
         return self.surface[place], stop[ends]
 
 
+class Cuts:
+    """What follows in short units from the skips so far: a node has the merges still to be asked for, and the ids if none is skipped."""
+
+    def __init__(self, model: PieceModel, rate: float, limit: int = 300_000):
+        self.model, self.rate, self.limit = model, int(rate * (1 << 32)), limit
+        self.share = rate
+        self.code = "H" if len(model.pieces) <= 1 << 16 else "I"
+        self._clear()
+
+    def _clear(self) -> None:
+        self.roots: dict[str, int] = {}
+        self.next: dict[int, int] = {}  # node * SHORT + which of its merges is skipped
+        self.units: list[str] = []
+        self.skips: list[tuple[tuple[int, int], ...]] = []
+        self.asked: list[tuple[tuple[int, int], ...]] = []  # merges before the node's own
+        self.ids: list[bytes] = []
+        self.mixes, self.at = array("Q"), array("q", [0])
+
+    def _node(self, unit: str, skips: tuple, asked: int) -> int:
+        ids, merges = self.model.follow(unit, set(skips))
+        self.units.append(unit), self.skips.append(skips), self.asked.append((asked, *merges)), self.ids.append(array(self.code, ids).tobytes())
+        self.mixes.extend([s * PLACE + n * LENGTH & M64 for s, n in merges[asked:]])
+        self.at.append(len(self.mixes))
+        return len(self.units) - 1
+
+    def _skipped(self, step: int) -> int:
+        node, i = divmod(step, SHORT)
+        asked, *merges = self.asked[node]
+        return self._node(self.units[node], (*self.skips[node], merges[asked + i]), asked + i)
+
+    def __call__(self, units: list[str], codes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the units of these codes one after another, and where each one's ids end (with a leading 0), given their keys."""
+        if len(self.units) > self.limit:
+            self._clear()
+        for u in units:
+            if u not in self.roots and len(u) <= SHORT and MARK not in u:
+                self.roots[u] = self._node(u, (), 0)
+        root = np.array([self.roots.get(u, -1) for u in units], dtype=np.int64)
+        node = root[codes] if len(codes) else np.zeros(0, dtype=np.int64)
+        long = np.flatnonzero(node < 0)
+        todo = np.flatnonzero(node >= 0) if self.rate else np.zeros(0, dtype=np.int64)
+        while len(todo):
+            at, mixes = np.array(self.at), np.array(self.mixes, dtype=np.uint64)
+            here = node[todo]
+            n = at[here + 1] - at[here]
+            ends = np.cumsum(n)
+            rows = np.repeat(np.arange(len(todo)), n)
+            which = np.arange(ends[-1]) - (ends - n)[rows]
+            h = keys[todo][rows] ^ mixes[at[here][rows] + which]
+            h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+            hit = np.flatnonzero(((h ^ (h >> np.uint64(29))) & np.uint64(0xFFFFFFFF)) < self.rate)
+            hit = hit[np.diff(rows[hit], prepend=-1) > 0]  # the first of each unit
+            steps, back = np.unique(here[rows[hit]] * SHORT + which[hit], return_inverse=True)
+            for s in steps.tolist():
+                if s not in self.next:
+                    self.next[s] = self._skipped(s)
+            todo = todo[rows[hit]]
+            node[todo] = np.array([self.next[s] for s in steps.tolist()], dtype=np.int64)[back]
+        distinct, place = np.unique(node, return_inverse=True)
+        values = [self.ids[k] if k >= 0 else b"" for k in distinct.tolist()]
+        place[long] = np.arange(len(long)) + len(values)
+        values += [array(self.code, self.model.unit(units[c], k, self.share)).tobytes() for c, k in zip(codes[long].tolist(), keys[long].tolist(), strict=True)]
+        return spread(values, place, f"<u{array(self.code).itemsize}")
+
+
 _models: dict[str, PieceModel] = {}
-_memos: dict[tuple[str, int, float], Memo] = {}
+_cuts: dict[tuple[str, float], Cuts] = {}
 
 
-def _worker(path: str, seed: int, rate: float) -> tuple[PieceModel, Memo]:
-    """The model and the units met so far, once for each Python worker. A remembered word is its variant's character and the unit."""
+def _worker(path: str, seed: int, rate: float) -> tuple[PieceModel, Cuts]:
+    """The model and what is remembered of units, once for each Python worker; the seed is in the documents' hashes."""
     if path not in _models:
         _models[path] = PieceModel(path)
-    model = _models[path]
-    code = "H" if len(model.pieces) <= 1 << 16 else "I"
-
-    def make(words: list[str]) -> list[bytes]:
-        return [array(code, model.unit(w[1:], xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), seed), rate)).tobytes() for w in words]
+    if (path, rate) not in _cuts:
+        _cuts[path, rate] = Cuts(_models[path], rate)
+    return _models[path], _cuts[path, rate]
 
-    if (path, seed, rate) not in _memos:
-        _memos[path, seed, rate] = Memo(make, 600_000)
-    return model, _memos[path, seed, rate]
 
-
-def _encode(column: pa.Array, variants: np.ndarray, model: PieceModel, memo: Memo) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts one after another, and where each text's ids end (with a leading 0)."""
-    kind = "<u2" if len(model.pieces) <= 1 << 16 else "<u4"
+def _encode(column: pa.Array, documents: np.ndarray, model: PieceModel, cuts: Cuts) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts one after another, and where each text's ids end (with a leading 0), given the documents' hashes."""
     offsets, codes, words = coded(column, " ")
+    units = [" " + w for w in words]  # a unit is a space and a word
     blank = words.index("") if "" in words else -1
     rows = np.repeat(np.arange(len(column)), np.diff(offsets))
-    odd = np.unique(rows[codes == blank]) if blank >= 0 else np.zeros(0, dtype=np.int64)  # two spaces on end, or some at an end
-    # a unit is a space and a word; several variants of a word are words of their own
-    pair = variants[rows].astype(np.int64) * len(words) + codes
-    distinct, at = np.unique(pair, return_inverse=True)
-    names = [f"{chr(97 + p // len(words))} {words[p % len(words)]}" for p in distinct.tolist()]
-    values = memo(names)
-    if not len(odd):
-        ids, ends = spread(values, at, kind)
-        return ids, ends[offsets]
-    parts: list[bytes] = []
-    for i in range(len(column)):
-        if i in set(odd.tolist()):
+    odd = np.unique(rows[codes == blank]).tolist() if blank >= 0 else []  # two spaces on end, or some at an end
+    if odd:
+        known = {u: k for k, u in enumerate(units)}
+        parts, done = [], 0
+        for i in odd:
             text = column[i].as_py()
-            parts.append(b"".join(memo([chr(97 + int(variants[i])) + u for u in UNIT.findall(" " + text) if u])) if text else b"")
-        else:
-            parts.append(b"".join([values[k] for k in at[offsets[i] : offsets[i + 1]]]))
-    ends = np.concatenate(([0], np.cumsum([len(p) for p in parts]))) // np.dtype(kind).itemsize
-    return np.frombuffer(b"".join(parts), dtype=kind), ends
-
-
-def encode(docs: DataFrame, model_path: str, seed: int = 17, rate: float = 0.1, variants: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
+            found = [u for u in UNIT.findall(" " + text) if u] if text else []
+            parts += [codes[offsets[done] : offsets[i]], np.array([known.setdefault(u, len(known)) for u in found], dtype=codes.dtype)]
+            done = i + 1
+        parts.append(codes[offsets[done] : offsets[-1]])
+        n = np.diff(offsets)
+        n[odd] = [len(p) for p in parts[1::2]]
+        codes, units, offsets = np.concatenate(parts), list(known), np.concatenate(([0], np.cumsum(n)))
+        rows = np.repeat(np.arange(len(column)), n)
+    ids, ends = cuts(units, codes, occurrences(documents[rows], np.arange(len(rows)) - offsets[rows]))
+    return ids, ends[offsets]
+
+
+def encode(docs: DataFrame, model_path: str, seed: int = 17, rate: float = 0.1, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Adds piece_ids (array), n_pieces, ids_crc32 (unsigned, ids as little-endian unsigned 32-bit numbers) and decoded_equal."""
-    return _coded(docs, model_path, seed, rate, variants, key, text, True)
+    return _coded(docs, model_path, seed, rate, key, text, True)
 
 
-def digests(docs: DataFrame, model_path: str, seed: int = 17, rate: float = 0.1, variants: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
+def digests(docs: DataFrame, model_path: str, seed: int = 17, rate: float = 0.1, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_pieces, ids_crc32 and decoded_equal alone: what `encode` adds, without texts and ids leaving the workers."""
-    return _coded(docs.select(key, text), model_path, seed, rate, variants, key, text, False).drop(text)
+    return _coded(docs.select(key, text), model_path, seed, rate, key, text, False).drop(text)
 
 
-def _coded(docs: DataFrame, model_path: str, seed: int, rate: float, variants: int, key: str, text: str, with_ids: bool) -> DataFrame:
+def _coded(docs: DataFrame, model_path: str, seed: int, rate: float, key: str, text: str, with_ids: bool) -> DataFrame:
     new = [T.StructField("piece_ids", T.ArrayType(T.IntegerType()))] * with_ids + [T.StructField("n_pieces", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("decoded_equal", T.BooleanType())]
     kept = docs.select(*[f"`{c}`" for c in docs.columns if c not in {f.name for f in new}])
-    variant = F.pmod(F.xxhash64(F.lit(seed), F.col(key).cast("string")), F.lit(max(1, min(26, variants)))).cast("int")
+    document = F.xxhash64(F.lit(seed), F.col(key).cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, memo = _worker(model_path, seed, rate)
+        model, cuts = _worker(model_path, seed, rate)
         for batch in slices(batches, text, SLICE_BYTES):
             column = texts(batch, text)
-            ids, ends = _encode(column, batch.column("_variant").to_numpy(), model, memo)
+            ids, ends = _encode(column, batch.column("_document").to_numpy(), model, cuts)
             back, stops = model.decode(ids, ends)
             wide, sources, back = ids.astype("<u4"), column.to_pylist(), back.tobytes()
             crcs = [zlib.crc32(wide[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
             # the first byte of a document is the space that encoding put there
             equal = [back[a + 1 : b] == s.encode() for a, b, s in zip(stops[:-1], stops[1:], sources, strict=True)]
             arrays = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32)))] * with_ids + [pa.array(np.diff(ends), pa.int64()), pa.array(crcs, pa.int64()), pa.array(equal, pa.bool_())]
-            old = [(batch.column(i), n) for i, n in enumerate(batch.schema.names) if n != "_variant"]
+            old = [(batch.column(i), n) for i, n in enumerate(batch.schema.names) if n != "_document"]
             yield pa.RecordBatch.from_arrays([a for a, _ in old] + arrays, names=[n for _, n in old] + [f.name for f in new])
 
-    return kept.withColumn("_variant", variant).mapInArrow(run, T.StructType([*kept.schema.fields, *new]))
+    return kept.withColumn("_document", document).mapInArrow(run, T.StructType([*kept.schema.fields, *new]))
 
 
 def decode(ids: list[int], model_path: str) -> str:

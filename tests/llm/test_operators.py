@@ -216,3 +216,31 @@ def test_line_runs_hold_each_key_once_and_are_compacted(spark, odd, monkeypatch)
         assert sum(spark.table(x).count() for x in names) == len(whole)
         plan = runs.new_keys(spark.table(names[0]))._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "LeftAnti" in plan and "Exchange" not in plan
+
+
+def test_each_occurrence_of_a_word_is_cut_by_itself():
+    path = queries.tokenizer_path("piece_bpe_32k.model")
+    texts = [t for _, t in ROWS if t] + ["remembering " * 300, "unbelievable  remembering", "x" * 300, LONG]
+    hashes = np.arange(len(texts), dtype=np.int64) * 7 - 3
+    for rate in (0.1, 0.5):
+        model, cuts = pieces._worker(path, 1, rate)
+        cuts.limit = 0  # what is remembered must not matter
+        for _ in range(2):
+            ids, ends = pieces._encode(pa.array(texts), hashes, model, cuts)
+            for i, text in enumerate(texts):
+                units = [u for u in pieces.UNIT.findall(" " + text) if u]
+                keys = pieces.occurrences(np.full(len(units), hashes[i]), np.arange(len(units))).tolist()
+                assert ids[ends[i] : ends[i + 1]].tolist() == [x for u, k in zip(units, keys) for x in model._by_heap(u, k, rate)]
+    words = pieces.occurrences(np.full(300, hashes[0]), np.arange(300)).tolist()
+    assert len({tuple(model.unit(" remembering", k, 0.5)) for k in words}) > 4
+
+
+def test_occurrences_in_one_document_differ(spark):
+    path = queries.tokenizer_path("piece_bpe_32k.model")
+    row = pieces.encode(spark.createDataFrame([(1, "remembering " * 300)], "doc_id long, text string"), path, rate=0.3).first()
+    whole, marks = pieces.PieceModel(path), []
+    for i in row.piece_ids:
+        if whole.pieces[i].startswith("▁"):
+            marks.append([])
+        marks[-1].append(i)
+    assert len(set(map(tuple, marks))) > 4
