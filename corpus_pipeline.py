@@ -5,14 +5,16 @@ but the last return the columns of documents (doc_id, text, lang, source, n_char
 
 1. quality_rules: documents that the policy `web` version 1 rejects go.
 2. line_dedup: lines of 20 characters or more that three or more documents hold stay in the largest doc_id alone; n_chars follows.
-3. near_duplicates: of each class of documents linked by five-word shingles at 0.8 or more, the smallest doc_id stays.
+3. near_duplicates: of each class of rows linked by five-word shingles at 0.8 or more, one row stays: that with the smallest doc_id,
+   a null doc_id being the largest; among equal ones the smallest row hash. Rows with a null doc_id are linked like any other, and
+   rows that link with nothing stay. Of rows that are equal in all columns one stays, even if they have no words to be linked by.
 4. mixing: each document is used as often as its rate says, rounded by a keyed hash; a document used twice is two rows.
 5. pieces: the ids of each document under seeded merge-dropout.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioflow.llm import jaccard, line_dedup, mixing, pieces, quality_rules
@@ -31,9 +33,13 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    linked = jaccard.link(docs.select("doc_id", "text"), n=5, num=8, den=10)
-    stays = linked.filter("component_id = doc_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(stays, "doc_id", "left_semi")
+    rows = docs.select(F.xxhash64(*COLUMNS, *[F.isnull(c) for c in COLUMNS]).alias("row"), *COLUMNS)
+    linked = jaccard.link(rows.select("row", "text"), key="row", n=5, num=8, den=10)
+    classes = linked.select(F.col("doc_id").alias("row"), "component_id").distinct()
+    first = F.min(F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "row"))["row"]
+    stays = rows.select("row", "doc_id").join(classes, "row").groupBy("component_id").agg(first.alias("row")).select("row")
+    one = F.row_number().over(Window.partitionBy("row").orderBy("row"))
+    return rows.join(stays, "row", "left_semi").withColumn("one", one).filter("one = 1").select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

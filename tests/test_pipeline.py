@@ -1,0 +1,65 @@
+"""The stages of the corpus pipeline against brute force, on null ids, repeated rows, ties and empty tables."""
+
+import random
+from collections import Counter
+
+import corpus_pipeline as P
+
+WORDS = [f"{a}{b}{c}" for a in ("lo", "mi", "ra", "su") for b in ("ten", "vol", "kar", "pin") for c in ("a", "es", "or")]
+LINE = "this line stands in three documents of the corpus"
+
+
+def prose(n):
+    drawn = random.Random(n).choices(WORDS, k=40)
+    return " ".join(w + ("." if i % 9 == 8 else "") for i, w in enumerate(drawn))
+
+
+ROWS = [
+    (1, prose(1)), (1, prose(1)), (2, prose(2)), (3, prose(2)), (None, prose(2)), (None, prose(3)), (None, prose(3)), (None, prose(4)),
+    (5, prose(5)), (5, prose(6)), (6, prose(5)), (7, prose(7) + "\n" + LINE), (8, prose(8) + "\n" + LINE), (9, prose(9) + "\n" + LINE), (10, None), (11, ""), (11, ""), (None, ""), (12, prose(12)), (12, prose(12) + " more"),
+]
+TYPES = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def full(rows):
+    return [(k, t, "en", "web", len(t or "")) for k, t in rows]
+
+
+def shingles(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
+
+
+def brute_near(rows):
+    rows = list(dict.fromkeys(rows))
+    classes = [{i} for i in range(len(rows))]
+    for i, a in enumerate(rows):
+        for j, b in enumerate(rows[:i]):
+            x, y = shingles(a[1]), shingles(b[1])
+            if x and y and 10 * len(x & y) >= 8 * len(x | y):
+                one, two = (next(c for c in classes if k in c) for k in (i, j))
+                if one is not two:
+                    classes.remove(two)
+                    one |= two
+    return [[rows[i] for i in c if (rows[i][0] is None, rows[i][0] or 0) == min((rows[k][0] is None, rows[k][0] or 0) for k in c)] for c in classes]
+
+
+def stage(spark, name, rows, sf=""):
+    return [tuple(r) for r in dict(P.STAGES)[name](spark, spark.createDataFrame(rows, TYPES).repartition(3), sf).collect()]
+
+
+def test_near_duplicates_stage_keeps_one_row_of_each_class(spark):
+    got, classes = Counter(stage(spark, "near_duplicates", full(ROWS))), brute_near(full(ROWS))
+    assert sum(got.values()) == len(classes) and all(sum(got[r] for r in c) == 1 for c in classes)
+    assert sum(n for r, n in got.items() if r[0] is None) == 3
+
+
+def test_line_dedup_stage(spark):
+    got = {r[0]: r for r in stage(spark, "line_dedup", full(ROWS)) if r[0] in (7, 8, 9)}
+    assert [LINE in got[k][1] for k in (7, 8, 9)] == [False, False, True] and all(len(r[1]) == r[4] for r in got.values())
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], TYPES).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert P.run(spark, str(tmp_path)).collect() == []
