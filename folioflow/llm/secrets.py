@@ -1,9 +1,10 @@
 """Secret scans: fixed patterns, and character Markov models for the secrets that no pattern names.
 
-The base rules find assignments, access keys and long hex runs. Beside them, each run of 20 or more key characters is scored by two
-character bigram models, one of random strings and one of ordinary identifiers; a run whose log-likelihood ratio is high enough is
-a span of kind `markov`, unless it touches a base span. The models learn from labelled samples: values of base spans are labelled
-random, words and identifiers outside them ordinary.
+The base rules find assignments, access keys and long hex runs. Beside them, each run of 12 or more key characters, letters alone
+included, is scored by two character bigram models, one of random strings and one of ordinary identifiers; a run whose log-likelihood
+ratio is high enough for its length is a span of kind `markov`. Of a run that touches base spans, each part of 12 or more characters
+outside them is scored as a run of its own. The models learn from labelled samples: values of base spans are labelled random, words
+and identifiers outside them ordinary.
 
 Cases: null and empty texts have no span; positions count code points, end exclusive; spans are ordered by start, then kind; with
 nothing to learn from, smoothing makes both models uniform and no span is added; repeated rows get equal answers.
@@ -30,10 +31,11 @@ ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=
 #: As runs are taken whole, a minimum inside the pattern finds the same as a test afterwards.
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}")
+LEAST = 12
+RUN = re.compile(r"[A-Za-z0-9+/_-]{12,}")
 IDENTIFIER = re.compile(r"[A-Za-z0-9_]{6,}")
 #: A text without any of these has no span; RE2 in Arrow decides that for whole batches.
-ANY = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|[A-Za-z0-9+/_-]{20}"""
+ANY = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|[A-Za-z0-9+/_-]{12}"""
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 N = len(ALPHABET) + 1  # the last symbol stands for the start
 CODE = np.full(128, N - 1, dtype=np.int64)
@@ -101,15 +103,28 @@ def _spans(text: str, ratio: np.ndarray, min_total: float, min_mean: float) -> l
     base = base_spans(text)
     found: list[tuple[int, str, int, float | None]] = [(*x, None) for x in base]
     for m in RUN.finditer(text):
-        s, e = m.span()
-        if m[0].isalpha() or any(b < e and s < f for b, _, f in base):
-            continue
-        total = float(ratio[bigrams(m[0])].sum())
-        if total >= min_total and total >= min_mean * (e - s):
-            found.append((s, "markov", e, total))
+        for s, e in _uncovered(*m.span(), base):
+            total = float(ratio[bigrams(text[s:e])].sum())
+            if total >= least_ratio(e - s, min_total, min_mean):
+                found.append((s, "markov", e, total))
     return found
 
 
+def _uncovered(start: int, end: int, base: list[tuple[int, str, int]]) -> list[tuple[int, int]]:
+    """The parts of a run of LEAST or more characters outside the base spans."""
+    parts, at = [], start
+    for b, _, f in base:
+        if at < f and b < end:
+            parts.append((at, b))
+            at = max(at, f)
+    return [(s, e) for s, e in [*parts, (at, end)] if e - s >= LEAST]
+
+
+def least_ratio(length: int, min_total: float, min_mean: float) -> float:
+    """The ratio that a run needs: min_mean a character, min_total at least."""
+    return max(min_total, min_mean * length)
+
+
 def digest(kinds: list[str], starts: list[int], ends: list[int]) -> str:
     """sha256 of the spans as text, as the query returns it for the base ones."""
     return hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in zip(kinds, starts, ends, strict=True)).encode()).hexdigest()

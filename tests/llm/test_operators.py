@@ -244,3 +244,12 @@ def test_occurrences_in_one_document_differ(spark):
             marks.append([])
         marks[-1].append(i)
     assert len(set(map(tuple, marks))) > 4
+
+
+def test_short_runs_letters_and_what_is_outside_base_spans_are_scored():
+    ratio, piece = np.full(secrets.N**2, 2.5), "0123456789abcdef01234567"
+    text = f"QwErTyUiOpAs {piece}ZXCVBNMASDFGH QWERTYUIOPASDF{piece}ZZ short a1B2c3D4e5F6"
+    found = [(k, text[s:e]) for s, k, e, _ in sorted(secrets._spans(text, ratio, 24.0, 0.9))]
+    assert found == [("markov", "QwErTyUiOpAs"), ("hex", piece), ("markov", "ZXCVBNMASDFGH"), ("markov", "QWERTYUIOPASDF"), ("hex", piece), ("markov", "a1B2c3D4e5F6")]
+    assert not secrets._spans("QwErTyUiOpAs", np.full(secrets.N**2, 1.9), 24.0, 0.9)  # a short run needs more a character
+    assert secrets._spans("QwErTyUiOpAsQwErTyUiOpAs", np.full(secrets.N**2, 1.1), 24.0, 0.9)
