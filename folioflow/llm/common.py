@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Text that one step of a Python task holds at a time.
 SLICE_BYTES = 6 << 20
+#: Shuffle files of a query go when it ends; a stage that still asks for them is run again.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,19 +23,73 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name below the one that spark.checkpoint.dir names; a folder of our own only where that is unset."""
+    """A new folder name below the one that spark.checkpoint.dir names. Only a local session may do without: it gets a folder of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
-def park(df: DataFrame, *partition_by: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends there, and lost executors cost no recomputation."""
-    path = shared_dir(df.sparkSession)
-    df.write.partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """What is executed inside gives back its shuffle files once it has ended: for writes, whose results need them no longer."""
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(FREE_SHUFFLES)
+        else:
+            spark.conf.set(FREE_SHUFFLES, before)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of our own in whatever store Spark keeps it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Scratch:
+    """The written tables of one job, below one folder of its own, each deleted once no later step reads it."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.paths = spark, shared_dir(spark), {}
+
+    def park(self, df: DataFrame, *partition_by: str) -> DataFrame:
+        """Writes df and reads it back: lineage ends there, and lost executors cost no recomputation."""
+        path = f"{self.folder}/{len(self.paths)}"
+        with freed_shuffles(self.spark):
+            df.write.partitionBy(*partition_by).parquet(path)
+        back = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[path] = back
+        return back
+
+    def drop(self, *parked: DataFrame) -> None:
+        """Deletes tables that `park` returned."""
+        for path in [p for p, df in self.paths.items() if any(df is x for x in parked)]:
+            self.paths[path] = None
+            delete(self.spark, path)
+
+    def keep(self, *parked: DataFrame) -> None:
+        """Deletes all tables but these."""
+        self.drop(*[df for df in self.paths.values() if df is not None and not any(df is x for x in parked)])
+
+
+def park(df: DataFrame) -> DataFrame:
+    """A written table that stays as long as the shared folder does."""
+    return Scratch(df.sparkSession).park(df)
+
+
+def spare(df: DataFrame, name: str) -> str:
+    """A column name that df does not have yet, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def held_out(doc_id: Column) -> Column:
