@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import jaccard, langid, line_dedup, mixing, pieces, quality_model, quality_rules, secrets, token_files, topk
-from .common import held_out, park, table
+from .common import Scratch, held_out, park, table
 
 #: The installed package that holds public vocabulary files; a path may be given instead.
 TOKENIZERS = "public_tokenizers"
@@ -41,7 +41,7 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return topk.search(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
+    return topk.search(vectors, F.col("vec_id") % 50 == 0, k=5)
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,32 +76,26 @@ def op8_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Domains of the labelled table, and the share of expected tokens that each shall have.
 DOMAIN = "CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 1 THEN 'good' WHEN quality = 0 THEN 'poor' END"
 MIX = {"good": 0.97, "poor": 0.025, "toxic": 0.005}
-#: Domains that may be repeated to reach their share; poor and toxic documents never are.
-GROW = {"good", "all"}
 
 
-def rates(found: DataFrame, names: tuple[str, ...]) -> mixing.Mix:
-    return mixing.fit_rates(found.select("n_tokens", "p"), tuple(MIX.get(n, 0.0) for n in names), grow=tuple(n in GROW for n in names))
-
-
-def mixed(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
-    """The columns of docs with n_tokens, p (by domain, in the order that is returned) and rate."""
-    labelled = docs.select("doc_id", "text").join(labels.select("doc_id", F.expr(DOMAIN).alias("domain")), "doc_id")
-    model, names = mixing.fit_posteriors(labelled)
-    found = park(mixing.posteriors(docs, model, names))
-    mix = rates(found, names)
-    return found.withColumn("rate", mix.rate(F.col("p"))), names
+def mixed(docs: DataFrame, labels: DataFrame, domain: str, weights: dict[str, float], keep: tuple[str, ...]) -> tuple[DataFrame, tuple[str, ...], mixing.Mix]:
+    """The columns of docs in `keep` with n_tokens, p (by domain, in the order that is returned) and rate."""
+    scratch = Scratch(docs.sparkSession)
+    model, names = mixing.fit_posteriors(mixing.labelled_rows(docs, labels.select("doc_id", F.expr(domain).alias("domain")), scratch))
+    found = scratch.park(mixing.posteriors(docs, model, names).select(*keep, "n_tokens", "p"))
+    scratch.keep(found)
+    mix = mixing.fit_rates(found.select("n_tokens", "p"), tuple(weights.get(n, 0.0) for n in names))
+    return found.withColumn("rate", mix.rate(F.col("p"))), names, mix
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`target_met`: whether the expected tokens of the row's likeliest domain are within 0.1 % of its target."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labelled = docs.join(table(spark, sf_dir, "labels").select("doc_id", F.expr(DOMAIN).alias("domain")), "doc_id")
-    model, names = mixing.fit_posteriors(labelled)
-    found = park(mixing.posteriors(docs, model, names).select("doc_id", "n_tokens", "p"))
-    mix = rates(found, names)
+    rated, names, mix = mixed(docs, table(spark, sf_dir, "labels"), DOMAIN, MIX, ("doc_id",))
     best = F.array_max(F.transform("p", lambda x, i: F.struct(x.alias("x"), (-i).alias("i"))))["i"]
-    rated = found.withColumn("rate", mix.rate(F.col("p")))
-    return rated.select("doc_id", "n_tokens", F.get(F.array(*map(F.lit, names)), -best).alias("domain"), *[F.get("p", F.lit(i)).alias(f"p_{n}") for i, n in enumerate(names)], "rate", mixing.copies(F.col("rate"), F.col("doc_id")).alias("copies"))
+    met = [abs(e - t) <= 1e-3 * t for e, t in zip(mix.expected, mix.targets, strict=True)]
+    listed = lambda xs: F.get(F.array(*map(F.lit, xs)), -best)
+    return rated.select("doc_id", "n_tokens", listed(names).alias("domain"), *[F.get("p", F.lit(i)).alias(f"p_{n}") for i, n in enumerate(names)], "rate", mixing.copies(F.col("rate"), F.col("doc_id")).alias("copies"), listed(met).alias("target_met"))
 
 
 def op10_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
