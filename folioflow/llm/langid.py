@@ -1,31 +1,33 @@
 """Language identification by compression.
 
-Each language has a raw-content dictionary for zstandard: the words that most of its training documents hold, rarest first
-(matches near the end are cheapest). A text is cut into blocks, each block is compressed once with every dictionary, and the
-language whose blocks are smallest in sum wins. Where the runner-up is nearly as small, the answer is marked as rejected.
-
-Cases: a null text, an empty one and one without letters are `und` with score 0; equal sizes go to the language with more training
-documents, then to the smaller name; without training rows every text is `und`; repeated rows get equal answers; other columns of
-the input pass through untouched, whatever their names.
+Each language has a raw-content dictionary for zstandard: the runs of up to RUN non-space characters that most of its training
+documents hold, rarest first (matches near the end are cheapest); so texts without spaces are learned from like others. A text is cut
+into blocks, each block is compressed once with every dictionary, and the language whose blocks are smallest in sum wins. Where the
+runner-up is nearly as small, the answer is marked as rejected.
+
+Cases: a null text, an empty one and one without letters (characters that str.isalpha calls so) are `und` with score 0; equal sizes go
+to the language with more training documents, then to the smaller name; without training rows every text is `und`; repeated rows get
+equal answers; a text of any length is compressed whole, block by block; an empty table gives no rows; columns of the input named like
+an added one are replaced, all others pass through.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sampled, slices, texts
+from .common import Scratch, sampled, slices, texts
 
 UNDETERMINED = "und"
-LETTER = re.compile(r"[^\W\d_]")
+#: Longer words are cut into runs of this length.
+RUN = 40
 
 
 @dataclass(frozen=True)
@@ -38,15 +40,33 @@ class LanguageModel:
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", max_docs: int = 20_000, max_words: int = 9_000, dict_bytes: int = 65_536) -> LanguageModel:
     """Learns from about max_docs labelled rows (chosen by a hash of the whole row), max_words words and dict_bytes bytes a language at most."""
+    scratch = Scratch(docs.sparkSession)
     rows = sampled(docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()), max_docs).select(F.col(text).alias("t"), F.col(lang).alias("l"))
-    words = rows.select("l", F.explode(F.array_distinct(F.split(F.lower("t"), r"\s+"))).alias("w")).filter((F.length("w") > 0) & (F.length("w") <= 40))
-    counts = words.groupBy("l", "w").agg(F.count("*").alias("n")).filter("n > 1 or length(w) <= 8")
-    top = counts.withColumn("k", F.row_number().over(Window.partitionBy("l").orderBy(F.desc("n"), "w"))).filter(F.col("k") <= max_words)
+    runs = rows.select("l", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(rf"\S{{1,{RUN}}}"), F.lit(0)))).alias("w"))
+    counts = scratch.park(runs.groupBy("l", "w").agg(F.count("*").alias("n")))
     sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
-    found: dict[str, list[str]] = {name: [] for name in sorted(sizes, key=lambda x: (-sizes[x], x))}
-    for r in sorted(top.select("l", "w", "k").collect(), key=lambda r: r["k"]):
-        found[r["l"]].append(r["w"])
-    return LanguageModel(tuple(found), tuple(_dictionary(ws, dict_bytes) for ws in found.values()))
+    found: dict[str, list[tuple[int, str]]] = {name: [] for name in sorted(sizes, key=lambda x: (-sizes[x], x))}
+    if found:
+        for r in _most(counts, max_words).collect():
+            found[r["l"]].append((-r["n"], r["w"]))
+    scratch.drop(counts)
+    return LanguageModel(tuple(found), tuple(_dictionary([w for _, w in sorted(ws)], dict_bytes) for ws in found.values()))
+
+
+def _most(counts: DataFrame, limit: int) -> DataFrame:
+    """Rows (l, w, n) of about `limit` words a language that most documents hold; of those that tie for the last places a share by hash.
+
+    How many words have which count tells where to cut, so no language's words have to be ranked in one task.
+    """
+    cuts, left = {}, {}
+    for r in sorted(counts.groupBy("l", "n").agg(F.count("*").alias("words")).collect(), key=lambda r: (r["l"], -r["n"])):
+        room = left.setdefault(r["l"], limit)
+        if room > 0:
+            cuts[r["l"]] = (r["n"], min(1.0, room / r["words"]))
+        left[r["l"]] = room - r["words"]
+    known = counts.sparkSession.createDataFrame([(name, n, share) for name, (n, share) in cuts.items()], "l string, cut long, share double")
+    drawn = F.pmod(F.xxhash64("w"), F.lit(1 << 20)) < F.col("share") * (1 << 20)
+    return counts.join(F.broadcast(known), "l").filter((F.col("n") > F.col("cut")) | ((F.col("n") == F.col("cut")) & drawn)).select("l", "w", "n")
 
 
 def _dictionary(words: list[str], limit: int) -> bytes:
@@ -84,7 +104,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", level: i
 
 
 def _answer(text: str, coders: list, languages: tuple[str, ...], block: int) -> tuple[str, float, float]:
-    if not coders or not LETTER.search(text):
+    if not coders or not any(map(str.isalpha, text)):
         return UNDETERMINED, 0.0, 0.0
     data = text.lower().encode("utf-8", "replace")
     blocks = [data[i : i + block] for i in range(0, len(data), block)]
