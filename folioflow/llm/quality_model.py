@@ -5,12 +5,15 @@ logistic regression with an L1 penalty weighs the conjunctions, and those of wei
 expression: the sigmoid of a sum of CASE terms, which runs inside whole-stage code generation over any number of documents.
 
 Cases: null and empty texts have all statistics 0 and get a score like any other; with labels of one kind only (or none) the score
-is that kind's smoothed share everywhere; repeated rows get equal scores.
+is that kind's smoothed share everywhere; repeated rows get equal scores, and ties on a threshold go to its lower side; a text of any
+length is measured whole; an empty table gives no rows; only the named key and text columns are read, and the key may have any name
+but that of a statistic.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -21,8 +24,8 @@ SPACE = r"[\x20\x09-\x0D]"
 
 def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and the statistics of each whole text, all double."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    wide = docs.select(F.col(key), t.alias("t")).withColumns({
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    wide = docs.select(F.col(f"`{key}`").alias("key"), t.alias("t")).withColumns({
         "w": F.filter(F.split("t", SPACE + "+"), lambda x: x != ""),
         "l": F.filter(F.split("t", "\n"), lambda x: x != ""),
         "n": F.length("t").cast("double"),
@@ -36,7 +39,7 @@ def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     c = F.col
     return wide.select(
-        F.col(key),
+        F.col("key").alias(key),
         F.log1p("n").alias("log_chars"), F.log1p("nw").alias("log_words"), share(c("n"), c("nw")).alias("chars_per_word"), share(c("sym"), c("nw")).alias("symbols_per_word"),
         share(c("n") - c("no_upper"), c("n")).alias("upper_share"), share(c("up"), c("nw")).alias("capitals_per_word"), share(c("stops"), c("nw")).alias("stops_per_word"), share(c("digits"), c("n")).alias("digit_share"),
         share(c("uw"), c("nw")).alias("distinct_words"), share(c("ul"), c("nl")).alias("distinct_lines"), share(c("nw"), c("nl")).alias("words_per_line"), F.log1p("uw").alias("log_distinct_words"),
@@ -68,19 +71,24 @@ def condition(rule: tuple[tuple[str, bool, float], ...]) -> Column:
     return out
 
 
-def _paths(node: object, so_far: tuple, out: set) -> None:
-    """All conjunctions from the root of a tree to its nodes. Conditions on one statistic and side are merged into the tightest."""
-    if so_far:
+SPLIT = re.compile(r"^( *)(?:If|Else) \(feature (\d+) (<=|>) (\S+)\)$")
+
+
+def paths(tree: str) -> set[tuple[tuple[str, bool, float], ...]]:
+    """All conjunctions from the root of a tree, given as the text that Spark prints of it, to its nodes.
+
+    Conditions on one statistic and side are merged into the tightest.
+    """
+    out, so_far = set(), []
+    for found in filter(None, map(SPLIT.match, tree.splitlines())):
+        depth, above, at = len(found[1]), found[3] == ">", float(found[4])
+        so_far = [x for x in so_far if x[0] < depth] + [(depth, STATISTICS[int(found[2])], above, at)]
         tight: dict[tuple[str, bool], float] = {}
-        for name, above, at in so_far:
+        for _, name, above, at in so_far:
             old = tight.get((name, above))
             tight[name, above] = at if old is None else (max if above else min)(old, at)
         out.add(tuple((name, above, at) for (name, above), at in sorted(tight.items())))
-    if node.numDescendants() > 0:
-        split = node.split()
-        name, at = STATISTICS[split.featureIndex()], float(split.threshold())
-        _paths(node.leftChild(), (*so_far, (name, False, at)), out)
-        _paths(node.rightChild(), (*so_far, (name, True, at)), out)
+    return out
 
 
 def fit(rows: DataFrame, label: str = "quality", trees: int = 12, depth: int = 3, penalty: float = 2e-4, max_rows: int = 20_000, seed: int = 7) -> RuleModel:
@@ -98,10 +106,7 @@ def fit(rows: DataFrame, label: str = "quality", trees: int = 12, depth: int = 3
             return RuleModel(math.log((ones + 1) / (every - ones + 1)), ())
         assembled = VectorAssembler(inputCols=list(STATISTICS), outputCol="x").transform(labelled).select("x", "label")
         grown = GBTClassifier(featuresCol="x", maxIter=trees, maxDepth=depth, maxBins=64, subsamplingRate=0.7, seed=seed).fit(assembled)
-        found: set = set()
-        for tree in grown.trees:
-            _paths(tree._java_obj.rootNode(), (), found)
-        rules = sorted(found)
+        rules = sorted(set().union(*[paths(tree.toDebugString) for tree in grown.trees]))
         names = [f"r{i}" for i in range(len(rules))]
         ruled = labelled.select("label", *[condition(r).cast("double").alias(n) for r, n in zip(rules, names, strict=True)])
         binary = VectorAssembler(inputCols=names, outputCol="x").transform(ruled).select("x", "label").cache()

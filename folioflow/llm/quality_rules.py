@@ -16,6 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import spare
+
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
 #: Words of a window; a window found twice or more in a text is a repetition.
@@ -24,28 +26,28 @@ WINDOW = 5
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and n_lines (lines with a word)."""
-    t = F.coalesce(F.col(text), F.lit(""))
     names = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"}
     docs = docs.select(*[f"`{c}`" for c in docs.columns if c not in names])
+    words, lines, windows, ordered, at = (spare(docs, c) for c in ("words", "lines", "windows", "ordered", "at"))
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     found = docs.withColumns({
-        "_words": F.filter(F.split(t, SPACE + "+"), lambda w: w != ""),
-        "_lines": F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
+        words: F.filter(F.split(t, SPACE + "+"), lambda w: w != ""),
+        lines: F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
         "word_chars": F.length(F.regexp_replace(t, SPACE + "+", "")).cast("long"),
         "n_symbols": F.regexp_count(t, F.lit(SYMBOLS)).cast("long"),
     })
-    at = lambda i, k: F.get("_words", i + k)
     found = found.withColumns({
-        "n_words": F.size("_words").cast("long"),
-        "n_lines": F.size("_lines").cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "_windows": F.when(F.size("_words") >= WINDOW, F.transform(F.sequence(F.lit(0), F.size("_words") - WINDOW), lambda i: F.xxhash64(*[at(i, k) for k in range(WINDOW)]))).otherwise(F.array().cast("array<long>")),
+        "n_words": F.size(words).cast("long"),
+        "n_lines": F.size(lines).cast("long"),
+        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
+        windows: F.when(F.size(words) >= WINDOW, F.transform(F.sequence(F.lit(0), F.size(words) - WINDOW), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)]))).otherwise(F.array().cast("array<long>")),
     })
     # Most texts repeat no window, which a set of hashes tells; only the others sort their windows.
-    found = found.withColumn("_sorted", F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    same = lambda a, b: F.coalesce(F.get("_sorted", a)["h"] == F.get("_sorted", b)["h"], F.lit(False))
-    repeated = F.filter("_sorted", lambda x, k: F.when(k > 0, same(k, k - 1)).otherwise(F.lit(False)) | same(k, k + 1))
-    found = found.withColumn("_at", F.sort_array(F.transform(repeated, lambda x: x["i"])))
-    covered = F.aggregate(F.transform("_at", lambda i, k: F.when(k == 0, F.lit(WINDOW)).otherwise(F.least(F.lit(WINDOW), i - F.get("_at", k - 1)))), F.lit(0), lambda a, x: a + x)
+    found = found.withColumn(ordered, F.when(F.size(F.array_distinct(windows)) < F.size(windows), F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    same = lambda a, b: F.coalesce(F.get(ordered, a)["h"] == F.get(ordered, b)["h"], F.lit(False))
+    repeated = F.filter(ordered, lambda x, k: F.when(k > 0, same(k, k - 1)).otherwise(F.lit(False)) | same(k, k + 1))
+    found = found.withColumn(at, F.sort_array(F.transform(repeated, lambda x: x["i"])))
+    covered = F.aggregate(F.transform(at, lambda i, k: F.when(k == 0, F.lit(WINDOW)).otherwise(F.least(F.lit(WINDOW), i - F.get(at, k - 1)))), F.lit(0), lambda a, x: a + x)
     found = found.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
     # One entry for each text, unnested: a filter on measurements then stays above, and isn't expanded into the expressions below.
     entry = F.array(F.struct(*sorted(names)))

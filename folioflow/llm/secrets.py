@@ -7,7 +7,9 @@ outside them is scored as a run of its own. The models learn from labelled sampl
 and identifiers outside them ordinary.
 
 Cases: null and empty texts have no span; positions count code points, end exclusive; spans are ordered by start, then kind; with
-nothing to learn from, smoothing makes both models uniform and no span is added; repeated rows get equal answers.
+nothing to learn from, smoothing makes both models uniform and no span is added; repeated rows get equal answers; spans of several
+kinds may start at one place, then the listed order of kinds decides; a text of any length is searched whole; an empty table gives no
+rows; only the named key and text columns are read, and only the key is passed on.
 """
 
 from __future__ import annotations
