@@ -12,9 +12,13 @@
 
 The sketch is of fixed size and so is what is broadcast; it only decides the order, so results don't depend on it.
 
+Written tables are deleted once nothing reads them any more; what stays is what the returned rows are made of.
+
 Cases: a text with fewer words than n is one n-gram of all its words; one without words, or null, has none and links with nothing
 (its component is itself); rows that repeat a doc_id are one document with the links of each row; a null doc_id gets no component;
-ties need no rule, as the answer is a set of links.
+ties need no rule, as the answer is a set of links; a text of any length is one set, made and compared whole; an empty table gives no
+rows; only the named key and text columns are read, so others may have any names. N-grams are compared by 64-bit hashes and sets by
+128-bit ones, so the answer is exact up to collisions of those.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import park, slices, texts
+from .common import Scratch, slices, texts
 from .words import coded
 
 SKETCH_BITS = 21
@@ -60,7 +64,7 @@ def shingle_sets(column: pa.Array, n: int) -> list[np.ndarray]:
     return out
 
 
-def _sets(docs: DataFrame, n: int) -> DataFrame:
+def _sets(docs: DataFrame, n: int, scratch: Scratch) -> DataFrame:
     """kind 0: doc_id, n, sid (128-bit hash of the set); kind 1: blocks (n) of the sketch of each task (data)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,7 +78,7 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
         parts = [(i, zlib.compress(b.astype("<u4").tobytes(), 1)) for i, b in enumerate(seen.reshape(-1, BLOCK)) if b.any()]
         yield pa.RecordBatch.from_pydict({"doc_id": [None] * len(parts), "n": [i for i, _ in parts], "sid": [None] * len(parts), "data": [d for _, d in parts], "kind": [1] * len(parts)}, schema=schema)
 
-    return park(docs.mapInArrow(run, "doc_id long, n int, sid binary, data binary, kind int"), "kind")
+    return scratch.park(docs.mapInArrow(run, "doc_id long, n int, sid binary, data binary, kind int"), "kind")
 
 
 def _summed(blocks: DataFrame, size: int) -> np.ndarray:
@@ -165,7 +169,7 @@ def _near(num: int, den: int, a: str = "a", b: str = "b") -> Column:
     return (den * F.least(an, bn) >= num * F.greatest(an, bn)) & ((num + den) * F.least(an - ap, bn - bp) >= num * (an + bn))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough. Only for documents that some pair may need are sets made and shuffled."""
     spark = pairs.sparkSession
 
@@ -187,7 +191,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) ->
             for part in slices(iter([kept]), "t"):
                 yield pa.RecordBatch.from_arrays([part.column("k"), pa.array([s.tobytes() for s in shingle_sets(texts(part, "t"), n)], pa.binary())], names=["id", "data"])
 
-    sets = park(docs.filter("k is not null").withColumn("h", place("k")).mapInArrow(some, "id long, data binary").filter("length(data) > 0"))
+    sets = scratch.park(docs.filter("k is not null").withColumn("h", place("k")).mapInArrow(some, "id long, data binary").filter("length(data) > 0"))
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("data").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("data").alias("y")), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,10 +206,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) ->
             kept = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], names=["a", "b"])
 
-    return park(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct())
+    out = scratch.park(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct())
+    scratch.drop(sets)
+    return out
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """id, comp (the smallest id reachable) of every id in edges (a, b), by alternating large and small stars."""
 
     def stars(e: DataFrame, large: bool) -> DataFrame:
@@ -222,10 +228,12 @@ def components(edges: DataFrame) -> DataFrame:
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64(F.greatest("a", "b"), F.least("a", "b")).cast("decimal(38,0)"))).first())
 
-    before = state(edges)
+    given, before = edges, state(edges)
     while before[0]:
-        edges = park(stars(park(stars(edges, True)), False))
-        now = state(edges)
+        large = scratch.park(stars(edges, True))
+        small = scratch.park(stars(large, False))
+        scratch.drop(large, *[edges] * (edges is not given))
+        edges, now = small, state(small)
         if now == before:
             break
         before = now
@@ -235,8 +243,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """doc_id, n_shingles and component_id of each row; two documents link when den * intersection >= num * union."""
-    docs = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
-    found = _sets(docs, n)
+    docs = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").alias("t"))
+    scratch = Scratch(docs.sparkSession)
+    park = scratch.park
+    found = _sets(docs, n, scratch)
     sets = found.filter("kind = 0").select("doc_id", "n", "sid")
     order = _summed(found.filter("kind = 1"), 1 << SKETCH_BITS)
     prefixes = park(_prefixes(docs.filter("k is not null"), order, n, num, den))
@@ -248,31 +258,37 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, n
     members = grouped.select("gid", "rep").distinct()
     named = prefixes.join(grouped.filter("rep = gid").select("gid", "pid", F.col("gid").alias("doc_id")), ["doc_id", "pid"]).select("gid", "n", "prefix", "pid").dropDuplicates(["gid", "pid"])
     postings = park(_shared(_postings(named)))
+    scratch.drop(prefixes)
     to_hub = postings.filter("gid <> h_gid").select(*[F.col(x).alias(y) for x, y in (("gid", "g"), ("n", "a_n"), ("pos", "a_pos"), ("h_gid", "h"), ("h_n", "b_n"), ("h_pos", "b_pos"))]).filter(_near(num, den)).select("g", "h")
     in_group = members.filter("rep <> gid").select(F.least("gid", "rep").alias("a"), F.greatest("gid", "rep").alias("b"))
     expanded = to_hub.distinct().join(members.withColumnRenamed("gid", "g"), "g").select(F.least("rep", "h").alias("a"), F.greatest("rep", "h").alias("b"))
     tried = park(expanded.unionByName(in_group).distinct())
-    links = _verified(tried, docs, n, num, den)
+    close = _verified(tried, docs, n, num, den, scratch)
     # rows of one doc_id with several texts
     own = full.select("doc_id", "sid").join(reps, "sid").groupBy("doc_id").agg(F.min("rep").alias("b"), F.collect_set("rep").alias("reps")).filter(F.size("reps") > 1)
-    links = park(links.unionByName(own.select(F.explode("reps").alias("a"), "b").filter("a <> b")))
-    comps = park(components(links))
+    links = park(close.unionByName(own.select(F.explode("reps").alias("a"), "b").filter("a <> b")))
+    first = park(components(links, scratch))
 
-    def label(df: DataFrame, name: str, out: str) -> DataFrame:
+    def label(df: DataFrame, comps: DataFrame, name: str, out: str) -> DataFrame:
         return df.join(comps.select(F.col("id").alias(name), F.col("comp").alias(out)), name, "left").withColumn(out, F.coalesce(out, name))
 
-    labelled = park(label(members, "rep", "comp"))
+    labelled = park(label(members, first, "rep", "comp"))
+    scratch.keep(found, reps, postings, tried, links, labelled)
     span = labelled.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
     spread = postings.select("token", "gid", "n", "pos").join(span, "gid")
     mixed = park(spread.join(spread.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).filter("l <> h").select("token"), "token"))
+    scratch.drop(postings)
     side = lambda s: mixed.select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("gid", "n", "pos", "low", "high")])
     apart = (F.col("a_low") != F.col("b_high")) | (F.col("a_high") != F.col("b_low"))
     group_pairs = side("a").join(side("b"), "token").filter(F.expr("a_gid < b_gid") & apart & _near(num, den))
     group_pairs = group_pairs.select(F.col("a_gid").alias("g"), F.col("b_gid").alias("h")).unionByName(span.filter("low <> high").select(F.col("gid").alias("g"), F.col("gid").alias("h"))).distinct()
     left, right = (labelled.select(F.col("gid").alias(g), F.col("rep").alias(r), F.col("comp").alias(c)) for g, r, c in (("g", "x", "cx"), ("h", "y", "cy")))
     missing = group_pairs.join(left, "g").join(right, "h").filter("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = _verified(park(missing.join(tried, ["a", "b"], "left_anti")), docs, n, num, den)
-    comps = park(components(links.unionByName(more)))
+    untried = park(missing.join(tried, ["a", "b"], "left_anti"))
+    scratch.keep(found, reps, links, untried)
+    more = _verified(untried, docs, n, num, den, scratch)
+    comps = park(components(links.unionByName(more), scratch))
+    scratch.keep(found, reps, comps)
     rows = sets.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "sid")
-    named = label(rows.join(reps, "sid", "left").withColumn("rep", F.when(F.col("n_shingles") > 0, F.col("rep"))), "rep", "component_id")
+    named = label(rows.join(reps, "sid", "left").withColumn("rep", F.when(F.col("n_shingles") > 0, F.col("rep"))), comps, "rep", "component_id")
     return named.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
