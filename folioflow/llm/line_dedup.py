@@ -6,23 +6,25 @@ keys that were known. So each key is in one run alone, and what later batches sa
 and sorted by the hash, so that the joins need no shuffle. Once a level has `fan_out` runs they are compacted into one run of the
 next level, so a key is rewritten only as often as there are levels.
 
-Dropping works the same at every size: keys found in enough documents are merge-joined with the documents' lines, the matching
-places gathered by document, and the texts filtered.
-
-Cases: a null or empty text is one empty line; keys under `min_chars` code points are never dropped; a row is a document, so rows
-that repeat a doc_id count each, and all rows of the largest doc_id keep the line; a document may hold a key on several lines and
-counts once; a null doc_id counts but is never the largest, and if a key has no other id, all its lines go but those of such rows.
+Dropping works the same at every size: keys found in enough documents are joined with the documents' lines, the matching places
+gathered by document, and the texts filtered. Keys that hold more than a share of all such lines are few by that very bound; they are
+broadcast, so that their lines are not gathered in one task. Rows are told apart by 128 bits of their key and text.
+
+Cases: a null or empty text is one empty line; keys under `min_chars` code points are never dropped; a document is a doc_id, so rows
+that repeat one count once, and all rows of the largest doc_id keep the line; all rows without a doc_id count as one document, which is
+never the largest; a document may hold a key on several lines and counts once; very long texts are split in their own row; an empty
+table gives no rows; columns named n_lines or n_dropped are replaced, others pass through whatever their names.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import park, shared_dir
+from .common import Scratch, delete, freed_shuffles, shared_dir
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 EDGES = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z"
@@ -33,11 +35,11 @@ def line_key(line: Column) -> Column:
     return F.translate(F.regexp_replace(line, EDGES, ""), UPPER, LOWER)
 
 
-def keyed_lines(docs: DataFrame, key: str, text: str, min_chars: int) -> DataFrame:
-    """row, doc_id, pos, h1, h2: the lines whose key is long enough. `row` tells rows apart even if doc_ids repeat."""
-    lines = docs.select("row", F.col(key).cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("pos", "line"))
+def keyed_lines(rows: DataFrame, min_chars: int) -> DataFrame:
+    """r1, r2, doc_id, pos, h1, h2: the lines of rows (r1, r2, doc_id, text) whose key is long enough."""
+    lines = rows.select("r1", "r2", "doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
     keys = lines.filter(F.length("line") >= min_chars).withColumn("k", line_key(F.col("line"))).filter(F.length("k") >= min_chars)
-    return keys.select("row", "doc_id", "pos", F.xxhash64("k").alias("h1"), F.xxhash64(F.lit("2nd"), "k").alias("h2"))
+    return keys.select("r1", "r2", "doc_id", "pos", F.xxhash64("k").alias("h1"), F.xxhash64(F.lit("2nd"), "k").alias("h2"))
 
 
 class LineRuns:
@@ -51,9 +53,20 @@ class LineRuns:
     def _write(self, counts: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
         placed = counts.repartition(self.buckets, "h1", "h2").sortWithinPartitions("h1", "h2")
-        placed.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", f"{self.folder}/{name}").saveAsTable(name)
+        with freed_shuffles(self.spark):
+            placed.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", f"{self.folder}/{name}").saveAsTable(name)
         return name
 
+    def _forget(self, names: Iterable[str]) -> None:
+        for name in set(names):
+            self.spark.sql(f"DROP TABLE {name}")
+            delete(self.spark, f"{self.folder}/{name}")
+
+    def close(self) -> None:
+        """Deletes all runs."""
+        self._forget(name for run in self._runs() for name in run)
+        self.levels = [[]]
+
     def _runs(self) -> list[tuple[str, str]]:
         return [run for level in self.levels for run in level]
 
@@ -66,14 +79,14 @@ class LineRuns:
             counts = self._without(counts, keys)
         return counts
 
-    def add(self, lines: DataFrame) -> DataFrame:
-        """Adds a batch (row, doc_id, h1, h2); returns its keys that were new: h1, h2, n_docs, max_doc."""
-        once = lines.groupBy("h1", "h2", "row").agg(F.max("doc_id").alias("doc_id"))
+    def add(self, lines: DataFrame) -> None:
+        """Adds a batch (doc_id, h1, h2), whose documents no other batch has."""
+        once = lines.select("h1", "h2", "doc_id").distinct()
         batch = self._write(once.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc")))
         keys = self._write(self.new_keys(self.spark.table(batch))) if self._runs() else batch
         self.levels[0].append((keys, self._write(self._without(self.spark.table(batch), keys))))
+        self._forget({batch} - {keys})
         self._compact()
-        return self.spark.table(keys)
 
     def _compact(self) -> None:
         for i, level in enumerate(self.levels):
@@ -83,6 +96,7 @@ class LineRuns:
                 keys, updates = zip(*level, strict=True)
                 self.levels[i + 1].append((self._write(self._every(keys)), self._write(self._merged(updates))))
                 self.levels[i] = []
+                self._forget(keys + updates)
 
     def _every(self, names: Sequence[str]) -> DataFrame:
         every = self.spark.table(names[0])
@@ -101,22 +115,39 @@ class LineRuns:
         return self._every(keys).join(later, ["h1", "h2"], "left").select("h1", "h2", total.alias("n_docs"), F.greatest("max_doc", "max_later").alias("max_doc"))
 
 
+def places(lines: DataFrame, common: DataFrame, share: int = 500) -> DataFrame:
+    """r1, r2 and gone (positions): the lines of common keys (h1, h2, n_docs, max_doc) outside the largest document."""
+    total = common.agg(F.sum("n_docs")).first()[0] or 0
+    heavy = common.filter(F.col("n_docs") * share > total)  # fewer than `share` keys
+    rest = lines.join(F.broadcast(heavy), ["h1", "h2"], "left_anti").join(common.filter(F.col("n_docs") * share <= total), ["h1", "h2"])
+    found = lines.join(F.broadcast(heavy), ["h1", "h2"]).unionByName(rest)
+    return found.filter(~F.col("doc_id").eqNullSafe(F.col("max_doc"))).groupBy("r1", "r2").agg(F.collect_set("pos").alias("gone"))
+
+
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 20, min_docs: int = 3, batches: int = 5) -> DataFrame:
     """The documents without lines that at least min_docs documents hold, except in the largest key; adds n_lines and n_dropped.
 
-    The lines go into the runs in `batches` batches by a hash of the row, as arriving data would; with five, the first four are
+    The lines go into the runs in `batches` batches by a hash of the key, as arriving data would; with five, the first four are
     compacted and the last meets the run of the second level.
     """
-    numbered = docs.drop("n_lines", "n_dropped").withColumn("row", F.xxhash64(F.col(key).cast("string"), F.coalesce(F.col(text), F.lit(""))))
-    lines = park(keyed_lines(numbered, key, text, min_chars).withColumn("batch", F.pmod("row", F.lit(batches)).cast("int")), "batch")
+    names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+    name = lambda c: F.col(f"`{c}`")
+    doc_id, full = name(key).cast("long"), F.coalesce(name(text), F.lit(""))
+    row = [F.xxhash64(F.lit(seed), doc_id, doc_id.isNull(), full).alias(seed) for seed in ("r1", "r2")]
+    scratch = Scratch(docs.sparkSession)
+    batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")
+    lines = scratch.park(keyed_lines(docs.select(*row, doc_id.alias("doc_id"), full.alias("text")), min_chars).withColumn("batch", batch), "batch")
     runs = LineRuns(docs.sparkSession)
     for i in range(batches):
         runs.add(lines.filter(F.col("batch") == i))
-    common = runs.counts().filter(F.col("n_docs") >= min_docs)
-    gone = lines.join(common, ["h1", "h2"]).filter(F.col("doc_id") < F.col("max_doc"))
-    places = gone.groupBy("row").agg(F.collect_set("pos").alias("gone"))
-    split = F.split(F.coalesce(text, F.lit("")), "\n")
-    out = numbered.join(places, "row", "left").withColumns({"_lines": split, "gone": F.coalesce("gone", F.array().cast("array<int>"))})
-    stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "gone")
-    kept = F.when(F.size("gone") == 0, F.coalesce(text, F.lit(""))).otherwise(F.array_join(F.transform(stay, lambda i: F.get("_lines", i)), "\n"))
-    return out.withColumns({"n_lines": F.size("_lines").cast("long"), "n_dropped": F.size("gone").cast("long"), text: kept}).drop("row", "_lines", "gone")
+    common = scratch.park(runs.counts().filter(F.col("n_docs") >= min_docs))
+    runs.close()
+    gone = scratch.park(places(lines.drop("batch"), common))
+    scratch.keep(gone)
+    # the input's columns travel as one struct, so that no name of theirs meets one of ours
+    out = docs.select(*row, F.struct(*map(name, names)).alias("doc")).join(gone, ["r1", "r2"], "left")
+    text_of = F.coalesce(F.col("doc").getField(text), F.lit(""))
+    out = out.select("doc", F.split(text_of, "\n").alias("lines"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
+    kept = F.when(F.size("gone") == 0, text_of).otherwise(F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n"))
+    return out.select(*[kept.alias(c) if c == text else F.col("doc").getField(c).alias(c) for c in names], F.size("lines").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_dropped"))
