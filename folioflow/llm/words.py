@@ -29,19 +29,21 @@ def coded(texts: pa.Array, separator: str | None = None, lower: bool = False) ->
 
 
 class Memo:
-    """Values of words that a worker has met, in bounded memory: it starts afresh once it holds `limit` words."""
+    """Values of words that a worker has met, in bounded memory: of `limit` words and of those met since, the older ones go first."""
 
-    def __init__(self, make: Callable[[list[str]], list[bytes]], limit: int = 800_000):
-        self.make, self.limit, self.known = make, limit, {}
+    def __init__(self, make: Callable[[list[str]], list[bytes]], limit: int = 500_000):
+        self.make, self.limit, self.known, self.older = make, limit, {}, {}
 
     def __call__(self, words: list[str]) -> list[bytes]:
-        known = self.known
+        if len(self.known) > self.limit:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
         missing = [w for w in words if w not in known]
         if missing:
-            if len(known) + len(missing) > self.limit:
-                known.clear()
-                missing = words
-            known.update(zip(missing, self.make(missing), strict=True))
+            again = {w: older[w] for w in missing if w in older}
+            known.update(again)
+            fresh = [w for w in missing if w not in again] if again else missing
+            known.update(zip(fresh, self.make(fresh), strict=True))
         return [known[w] for w in words]
 
 
