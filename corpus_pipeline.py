@@ -21,6 +21,9 @@ from folioflow.llm import jaccard, line_dedup, mixing, pieces, quality_rules
 from folioflow.llm.common import park, table
 from folioflow.llm.queries import mixed, tokenizer_path
 
+#: Poor documents went with the quality rules; of what is left, toxic ones shall have this share of the expected tokens.
+DOMAIN = "CASE WHEN toxic = 1 THEN 'toxic' WHEN toxic = 0 THEN 'clean' END"
+MIX = {"clean": 0.995, "toxic": 0.005}
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -43,7 +46,7 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rated, _ = mixed(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
+    rated, _, _ = mixed(docs.select(*COLUMNS), table(spark, sf_dir, "labels"), DOMAIN, MIX, COLUMNS)
     used = rated.withColumn("copies", mixing.copies(F.col("rate"), F.col("doc_id"))).filter("copies > 0")
     return used.select(*COLUMNS, F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
 
