@@ -24,6 +24,29 @@ def pipe_line(*cells: Column) -> Column:
     return F.concat(F.lit("| "), F.concat_ws(" | ", *map(pipe_cell, cells)), F.lit(" |"))
 
 
+def padded_pipe_table(rows: Column) -> Column:
+    """A table of an array of rows: the first is the header, all are as wide as the widest."""
+    width = F.array_max(F.transform(rows, F.size))
+    cell = lambda c: F.regexp_replace(F.replace(F.coalesce(c, F.lit("")), F.lit("|"), F.lit("\\|")), r"\r?\n", " ")
+    line = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))), cell), " | "), F.lit(" |"))
+    lines = F.transform(rows, line)
+    rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), width), " | "), F.lit(" |"))
+    return F.when(F.size(rows) == 0, "").otherwise(F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))), "\n"))
+
+
+def csv_text(rows: Column) -> Column:
+    """Rows of cells as one CSV text, lines joined by CR and LF."""
+    return F.array_join(F.transform(rows, lambda r: F.array_join(F.transform(r, csv_cell), ",")), "\r\n")
+
+
+def distinct_headers(header: Column) -> Column:
+    """Names of columns: trimmed, `column<n>` for blank ones, `<name>_<n>` for those met before; n is the place from 1."""
+    names = F.transform(header, lambda h: F.trim(h))
+    again = lambda n, i: (n != "") & F.array_contains(F.slice(names, F.lit(1), i), n)
+    place = lambda i: (i + 1).cast("string")
+    return F.transform(names, lambda n, i: F.when(n == "", F.concat(F.lit("column"), place(i))).when(again(n, i), F.concat(n, F.lit("_"), place(i))).otherwise(n))
+
+
 def tsv_line(*cells: Column) -> Column:
     return F.concat_ws("\t", *[F.replace(F.coalesce(c, F.lit("")), F.lit("\t"), F.lit(" ")) for c in cells])
 
@@ -41,7 +64,17 @@ def sheet_name(name: Column) -> Column:
 
 def extension(name: Column) -> Column:
     """Lower-cased text after the last dot; none for names that start or end with it."""
-    return F.lower(F.regexp_extract(name, r"^.+\.([^./]+)$", 1))
+    return F.lower(F.regexp_extract(name, r"^.+\.([^.]+)\z", 1))
+
+
+def base_name(name: Column) -> Column:
+    """The name without its extension."""
+    return F.when(extension(name) == "", name).otherwise(F.left(name, F.length(name) - F.length(extension(name)) - 1))
+
+
+def stem(name: Column) -> Column:
+    """The name up to its last dot, unless that is its first character; a dot at the end goes too."""
+    return F.regexp_replace(name, r"^(.+)\.[^.]*\z", "$1")
 
 
 def readable_size(size: Column) -> Column:

@@ -7,12 +7,13 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: White space of all scripts, as a class that Java's and RE2's patterns read alike.
+WS = r"[\s\x0b\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 # Patterns and replacements that make plain text of HTML, in this order.
 PLAIN = (
-    (r"(?i)<br[^>]*>", "\n"),
-    (r"(?i)</(p|div|h[1-6]|li|tr|blockquote|pre|ul|ol|table)>", "\n"),
-    (r"(?i)<li[^>]*>", "• "),
-    (r"(?i)</(td|th)>", "\t"),
+    (r"(?i)<\s*(br|/p|/div|/li|/h[1-6]|/tr)\s*/?>", "\n"),
+    (r"(?i)<\s*li[^>]*>", "• "),
+    (r"(?i)<\s*(td|th)[^>]*>", "\t"),
     (r"<[^>]+>", ""),
     (r"&nbsp;", " "),
     (r"&amp;", "&"),
@@ -20,40 +21,154 @@ PLAIN = (
     (r"&gt;", ">"),
     (r"&quot;", '"'),
     (r"&#39;", "'"),
+    (r"[ \t]+\n", "\n"),
     (r"\n{3,}", "\n\n"),
 )
-# What a reader drops, with the code of the loss.
+# What a reader drops: the code of the loss, its severity, and the pattern that is counted.
 LOSSES = (
-    ("html_scripts", r"(?i)<script[ >]"),
-    ("html_styles", r"(?i)<style[ >]"),
-    ("html_images", r"(?i)<(img|picture)[ >]"),
-    ("html_frames", r"(?i)<(iframe|embed)[ >]"),
-    ("html_forms", r"(?i)<form[ >]"),
+    ("html_scripts", "lost", r"(?i)<script\b"),
+    ("html_styles", "changed", r"(?i)<style\b|<link\b[^>]*stylesheet"),
+    ("html_images", "lost", r"(?i)<(img|picture)\b"),
+    ("html_frames", "lost", r"(?i)<(iframe|embed)\b"),
+    ("html_forms", "lost", r"(?i)<form\b"),
 )
-BLOCKS = ("h1", "h2", "h3", "p", "li", "blockquote", "pre", "table")
-
-
+# What goes from a page before it is read, in this order; then the body alone stays, and grouping elements are unwrapped.
+DROPPED = (
+    (r"<!--[\s\S]*?-->", ""),
+    (r"(?i)<script\b[\s\S]*?</script>", ""),
+    (r"(?i)<style\b[\s\S]*?</style>", ""),
+    (r"(?i)<head\b[\s\S]*?</head>|<noscript\b[\s\S]*?</noscript>|<svg\b[\s\S]*?</svg>|<template\b[\s\S]*?</template>", ""),
+    (r"(?i)<(img|picture|figure|iframe|embed|object|video|audio|canvas|input|button|select|textarea)\b[^>]*/?>", ""),
+    (r"(?i)</(picture|figure|iframe|embed|object|video|audio|canvas|select|textarea|button)>", ""),
+)
+UNWRAPPED = (
+    (r"(?i)<pre\b([^>]*)>\s*<code\b[^>]*>", "<pre$1>"),
+    (r"(?i)</code>\s*</pre>", "</pre>"),
+    (r"(?i)<th\b", "<td"),
+    (r"(?i)</th>", "</td>"),
+    (r"(?i)</?(section|article|main|header|footer|aside|nav|hgroup)\b[^>]*>", ""),
+)
+DEFINITIONS = ((r"(?i)</?dl\b[^>]*>", ""), (r"(?i)<(dt|dd)\b[^>]*>", "<p>"), (r"(?i)</(dt|dd)>", "</p>"))
+BODY = r"(?i)<body\b[^>]*>([\s\S]*?)</body>"
+BLOCK = r"(?i)<(h[1-6]|p|li|blockquote|pre|table)\b[^>]*>[\s\S]*?</\1>|<hr\b[^>]*/?>"
+# Inline elements with the marks that Markdown has for them, innermost first, until none is left.
+INLINE = (
+    (r"(?i)<(strong|b|em|i|code)\b[^>]*>(\s*)</\1>", "$2"),
+    (r"(?i)<(strong|b)\b[^>]*>\s*([^<]*?)\s*</\1>", "**$2**"),
+    (r"(?i)<(em|i)\b[^>]*>\s*([^<]*?)\s*</\1>", "*$2*"),
+    (r"(?i)<code\b[^>]*>([^<]*)</code>", "`$1`"),
+    (r'(?i)<a\b[^>]*href="[^"]*"[^>]*>(\s*)</a>', "$1"),
+    (r'(?i)<a\b[^>]*href="([^"]*)"[^>]*>([^<]*)</a>', "[$2]($1)"),
+    (r"(?i)<(u|s|strike|del|span|sup|sub|ins|mark)\b[^>]*>([^<]*)</\1>", "$2"),
+)
+INLINE_TAG = r"(?i)<(strong|b|em|i|code|a|u|s|strike|del|span|sup|sub|ins|mark)\b"
+ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"))
 def replaced(text: Column, steps: tuple[tuple[str, str], ...]) -> Column:
     return reduce(lambda c, s: F.regexp_replace(c, s[0], s[1]), steps, text)
 
 
+def trimmed(text: Column) -> Column:
+    """Without white space of any script at both ends."""
+    return F.regexp_replace(text, rf"^{WS}+|{WS}+\z", "")
+
+
 def html_plain_text(html: Column) -> Column:
     """Text of a page: block ends are line breaks, bullets and tabs stand for items and cells, tags go, entities are read."""
-    return F.trim(replaced(html, PLAIN))
+    return trimmed(replaced(html, PLAIN))
+
+
+def divided_html(body: Column) -> Column:
+    """Divisions of text alone as paragraphs, others unwrapped, innermost first: as many passes as there are divisions."""
+    inner = r"(?i)<div\b[^>]*>((?:(?!<div\b)[\s\S])*?)</div>"
+    plain = r"(?i)<div\b[^>]*>((?:(?!<div\b|<(?:p|h[1-6]|ul|ol|li|table|tr|td|blockquote|pre|hr|dl|dt|dd)\b)[\s\S])*?)</div>"
+    once = lambda x, _: F.regexp_replace(F.regexp_replace(x, plain, "<p>$1</p>"), inner, "$1")
+    return replaced(F.aggregate(F.sequence(F.lit(0), F.regexp_count(body, F.lit(r"(?i)<div\b"))), body, once), DEFINITIONS)
+
+
+def marked_items(html: Column) -> Column:
+    """Each list item closed before a list inside it, and its opening tag with the depth and kind of the list it is in."""
+    flat = F.regexp_replace(html, r"(?i)<li\b([^>]*)>((?:(?!</?li\b)[\s\S])*?)(<(?:ul|ol)\b)", "<li$1>$2</li>$3")
+    tags, gaps = F.regexp_extract_all(flat, F.lit(r"(?i)</?(?:ol|ul|li)\b"), F.lit(0)), F.split(flat, r"(?i)</?(?:ol|ul|li)\b")
 
+    def step(held: Column, tag: Column) -> Column:
+        open_, t = held["lists"], F.lower(tag)  # the open lists, a letter for each
+        last = F.right(open_, F.lit(1))
+        lists = F.when(t.isin("<ul", "<ol"), F.concat(open_, F.substring(t, 2, 1))).when(t.isin("</ul", "</ol") & (last == F.substring(t, 3, 1)), F.left(open_, F.length(open_) - 1)).otherwise(open_)
+        mark = F.concat(tag, F.when(last == "o", " data-ordered").otherwise(""), F.lit(' data-depth="'), F.greatest(F.lit(0), F.length(open_) - 1).cast("string"), F.lit('"'))
+        return F.struct(lists.alias("lists"), F.concat(held["out"], F.array(F.when(t == "<li", mark).otherwise(tag))).alias("out"))
 
-def html_blocks(html: Column, tag: str) -> Column:
-    """How many blocks of a kind open."""
-    return F.regexp_count(html, F.lit(f"(?i)<{tag}[ >]")).cast("long")
+    start = F.struct(F.lit("").alias("lists"), F.array().cast("array<string>").alias("out"))
+    out = F.aggregate(tags, start, step, lambda held: held["out"])
+    return F.concat(F.element_at(gaps, 1), F.array_join(F.zip_with(out, F.slice(gaps, F.lit(2), F.greatest(F.size(gaps) - 1, F.lit(0))), lambda a, b: F.concat(a, b)), ""))
+
+
+def decoded(text: Column) -> Column:
+    """Entities as characters, decimal ones too; the ampersand last."""
+    named = reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), ENTITIES, text)
+    numbers = F.array_distinct(F.regexp_extract_all(named, F.lit(r"&#(\d+);"), F.lit(1)))
+    unit = lambda n: F.decode(F.unhex(F.lpad(F.hex(F.pmod(n.cast("decimal(38,0)"), F.lit(65536)).cast("long")), 4, "0")), "UTF-16BE")
+    return F.replace(F.aggregate(numbers, named, lambda c, n: F.replace(c, F.concat(F.lit("&#"), n, F.lit(";")), unit(n))), F.lit("&amp;"), F.lit("&"))
+
+
+def inline_markdown(html: Column) -> Column:
+    """Emphasis, code and links as Markdown has them; other tags go, line breaks stay."""
+    once = lambda x, _: replaced(x, INLINE)
+    unwound = F.aggregate(F.sequence(F.lit(0), F.regexp_count(html, F.lit(INLINE_TAG))), html, once)
+    bare = F.regexp_replace(F.regexp_replace(unwound, r"(?i)<\s*br\s*/?>", "\n"), "<[^>]+>", "")
+    return trimmed(F.regexp_replace(decoded(bare), r"[ \t]+", " "))
+
+
+def table_rows(html: Column) -> Column:
+    """Rows of cells of a table, each cell on one line; rows without cells are left out."""
+    rows = F.regexp_extract_all(html, F.lit(r"(?i)<tr\b[^>]*>([\s\S]*?)</tr>"), F.lit(1))
+    cell = lambda c: F.regexp_replace(inline_markdown(c), r"\s*\n\s*", " ")
+    cells = lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?i)<td\b[^>]*>([\s\S]*?)</td>"), F.lit(1)), cell)
+    return F.filter(F.transform(rows, cells), lambda r: F.size(r) > 0)
+
+
+def stranded_words(marked: Column) -> Column:
+    """How many words of a page with marked items are in no block."""
+    rest = trimmed(F.regexp_replace(html_plain_text(F.regexp_replace(marked, BLOCK, "")), r"[•\s]+", " "))
+    return F.when(rest == "", 0).otherwise(F.size(F.split(rest, " "))).cast("long")
 
 
 def escape_xml(text: Column) -> Column:
     return reduce(lambda c, s: F.replace(c, F.lit(s[0]), F.lit(s[1])), (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")), text)
 
 
-# Line by line from Markdown to plain text.
-MARKDOWN_LINE = ((r"^#{1,6} +", ""), (r"^> ?", ""), (r"^[-*+] +", "• "), (r"^(---|\*\*\*|___)$", ""), (r"\*\*([^*]+)\*\*", "$1"), (r"`([^`]+)`", "$1"))
+# What goes from a line of Markdown, in this order; then marks inside it, until none is left.
+MARKDOWN_LINE = ((r"^\s{0,3}#{1,6}\s+", ""), (r"^\s{0,3}>\s?", ""), (r"^(\s*)[-*+]\s+", "$1• "), (r"^(\s*)(\d+)\.\s+", "$1$2. "))
+MARKS = (
+    (r"!\[([^\]]*)\]\([^)]*\)", "$1"),
+    (r"\[([^\]]+)\]\([^)]*\)", "$1"),
+    (r"`([^`]+)`", "$1"),
+    (r"~~(?!\s)([\s\S]+?)(?<!\s)~~", "$1"),
+    (r"\*\*\*(?!\s)((?:[^*]|\*(?!\*))+?)(?<!\s)\*\*\*", "$1"),
+    (r"\*\*(?!\s)((?:[^*]|\*(?!\*))+?)(?<!\s)\*\*", "$1"),
+    (r"\*(?!\s)([^*]+?)(?<!\s)\*", "$1"),
+    (r"(^|[^\w])__(?!\s)([\s\S]+?)(?<!\s)__(?!\w)", "$1$2"),
+    (r"(^|[^\w])_(?!\s)([^_]+?)(?<!\s)_(?!\w)", "$1$2"),
+)
+FENCE = r"^\s*(```|~~~)"
+RULE = r"^\s*((\*\s*){3,}|(-\s*){3,})\z"
+
+
+def stripped_marks(text: Column) -> Column:
+    """Markdown's marks inside a line go, innermost ones too: as many passes as there can be pairs of marks."""
+    passes = F.sequence(F.lit(0), F.floor(F.regexp_count(text, F.lit(r"[`~*_\[]")) / 2).cast("int"))
+    return F.aggregate(passes, text, lambda x, _: replaced(x, MARKS))
 
 
 def markdown_line(line: Column) -> Column:
-    return replaced(line, MARKDOWN_LINE)
+    """A line outside fences as plain text; a rule is an empty line."""
+    return F.when(line.rlike(RULE), "").otherwise(stripped_marks(replaced(line, MARKDOWN_LINE)))
+
+
+def markdown_plain_text(source: Column) -> Column:
+    """Plain text of a whole Markdown source: fences go and what is between them stays as it is."""
+    lines = F.split(source, "\r?\n")
+    fences = lambda i: F.size(F.filter(F.slice(lines, F.lit(1), i + 1), lambda x: x.rlike(FENCE)))
+    inside = lambda x, i: F.when(x.rlike(FENCE), F.lit(None)).when(fences(i) % 2 == 1, x).otherwise(markdown_line(x))
+    simple = lambda x: markdown_line(x)
+    kept = F.when(source.rlike(r"(?m)" + FENCE), F.filter(F.transform(lines, inside), lambda x: x.isNotNull())).otherwise(F.transform(lines, simple))
+    return trimmed(F.regexp_replace(F.array_join(kept, "\n"), r"\n{3,}", "\n\n"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def paragraphs(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, pos and paragraph: parts between blank lines, inner line breaks as spaces, empty ones dropped."""
-    parts = docs.select(key, F.posexplode(F.split(text, r"\n[ \t]*\n")).alias("pos", "raw"))
+    parts = docs.select(key, F.posexplode(F.split(text, r"\n\s*\n")).alias("pos", "raw"))
     return parts.withColumn("paragraph", F.trim(F.regexp_replace("raw", r"\s*\n\s*", " "))).filter("paragraph <> ''").drop("raw")
 
 

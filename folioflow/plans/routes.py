@@ -40,3 +40,17 @@ def targets(sizes: DataFrame, spark: SparkSession) -> DataFrame:
     by_format = sizes.groupBy("fmt").agg(F.count("*").alias("n_docs"), F.sum("bytes").alias("bytes"), F.max("bytes").alias("largest"))
     joined = by_format.join(F.broadcast(routes(spark)), F.col("fmt") == F.col("src"))
     return joined.select("src", "dst", "via", F.col("rank").cast("int").alias("rank"), "n_docs", "bytes", F.round(F.col("peak") * F.col("largest"), 0).cast("long").alias("peak_bytes"))
+
+
+#: Formats whose cost is measured against unpacked bytes, and how much larger those are taken to be.
+PACKED, UNPACKED = ("docx", "xlsx", "pptx", "odt", "ods", "odp", "epub"), 8
+#: Peak memory of a conversion that nobody has measured, as a multiple of its input.
+UNMEASURED = 100
+
+
+def cautions(sizes: DataFrame, spark: SparkSession, budget: int) -> DataFrame:
+    """For documents (fmt, bytes): for each target how many there are, how many may need more memory than the budget, and the most one needs."""
+    content = F.col("bytes") * F.when(F.col("fmt").isin(*PACKED), UNPACKED).otherwise(1)
+    joined = sizes.join(F.broadcast(routes(spark)), F.col("fmt") == F.col("src"))
+    estimate = content * F.floor(F.coalesce("peak", F.lit(float(UNMEASURED))) + 0.5).cast("long")
+    return joined.groupBy("src", "dst").agg(F.count("*").alias("n_docs"), F.count_if(estimate > budget).alias("n_warned"), F.max(estimate).alias("estimate"))

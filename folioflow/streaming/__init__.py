@@ -12,4 +12,4 @@ def new_files(spark: SparkSession, folder: str, glob: str = "*", largest: int =
     """A stream of files as they arrive: path, fmt, status and content; empty and too large ones are refused, not failed."""
     files = spark.readStream.format("binaryFile").option("pathGlobFilter", glob).load(folder)
     status = F.when(F.col("length") == 0, "empty").when(F.col("length") > largest, "too_large").otherwise("ok")
-    return files.select("path", extension(F.col("path")).alias("fmt"), "length", status.alias("status"), "content")
+    return files.select("path", extension(F.regexp_extract("path", r"([^/]*)\z", 1)).alias("fmt"), "length", status.alias("status"), "content")

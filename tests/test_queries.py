@@ -34,3 +34,102 @@ def test_routes(spark):
     found = {(r.src, r.dst): r.via for r in routes(spark).collect()}
     assert len(found) == 114 and sum(v == "" for v in found.values()) == 44
     assert found["html", "docx"] == "md" and found["ods", "json"] == "xlsx" and ("pdf", "csv") not in found
+
+
+# What each format can become, and through which other format.
+REACH = """
+pdf docx<-md odt<-md rtf<-md html<-md epub<-md md txt
+docx pdf odt<-md rtf html<-md epub<-md md txt
+odt pdf<-md docx<-md rtf<-md html<-md epub<-md md txt<-md
+rtf pdf<-md docx<-md odt<-md html<-md epub<-md md txt
+html pdf<-md docx<-md odt<-md rtf<-md epub<-md md txt<-md
+epub pdf<-md docx<-md odt<-md rtf<-md html<-md md txt<-md
+md pdf docx odt rtf html epub txt pptx odp
+txt pdf docx odt<-md rtf<-md html<-md epub<-md md pptx<-md odp<-md
+pptx docx<-md odt<-md rtf<-md html<-md epub<-md md txt
+odp docx<-md odt<-md rtf<-md html<-md epub<-md md txt
+xlsx pdf docx odt<-md rtf<-md html<-md epub<-md md txt ods csv json
+ods pdf docx odt<-md rtf<-md html<-md epub<-md md txt xlsx csv json<-xlsx
+csv pdf<-md docx<-md odt<-md rtf<-md html<-md epub<-md md txt xlsx ods<-xlsx json<-xlsx
+json pdf<-xlsx docx<-xlsx md<-xlsx txt<-xlsx xlsx ods<-xlsx csv<-xlsx
+"""
+
+
+def test_all_routes_and_the_matrix_have_the_expected_values(spark):
+    want = {(line.split()[0], *(x.split("<-") + [""])[:2]) for line in REACH.strip().splitlines() for x in line.split()[1:]}
+    got = {(r.src, r.dst, r.steps.split(">")[1] if r.steps.count(">") > 1 else "") for r in core.all_routes(spark, SF).collect()}
+    assert got == want and len(want) == 114
+    kinds = [r.kind for r in core.matrix_cells(spark, SF).collect()]
+    assert {k: kinds.count(k) for k in set(kinds)} == {"self": 14, "direct": 44, "routed": 70, "refused": 64, "none": 4}
+
+
+PAGE = """<html><head><title>x</title></head><body><h1>A <b>bold</b> &amp; <i>it</i></h1><div>text <div>inner</div><div><p>para</p></div></div>
+<ul><li>one<ol><li>a</li><li>b</li></ol></li><li>two</li></ul></ul><ol><li>n1</li><li>n2 <a href="u">l</a></li></ol><table><tr><th>h|1</th><th>h2</th></tr><tr></tr><tr><td>c<br>d</td></tr></table>
+<pre class="k"><code>x = 1</code></pre><blockquote>q1<br>q2</blockquote><hr><figcaption>lost words</figcaption><p><b><i>deep</i></b> &#8364;<script>no</script></p><p> </p></body></html>"""
+MARKDOWN = """# A **bold** & *it*
+
+inner
+
+para
+
+- one
+    1. a
+    2. b
+- two
+1. n1
+2. n2 [l](u)
+
+| h\\|1 | h2 |
+| --- | --- |
+| c d |  |
+
+```
+x = 1
+```
+
+> q1
+> q2
+
+---
+
+***deep*** €"""
+
+
+def test_a_page_as_blocks_and_markdown(spark):
+    from folioflow.functions import markup as M
+    from folioflow.operators import blocks as B
+
+    pages = spark.createDataFrame([(1, PAGE), (2, None), (3, ""), (4, "<p>" + "long words " * 40_000 + "</p>"), (5, "<div>" * 30 + "deep" + "</div>" * 30)], "page_id long, html string")
+    found = {r.page_id: r.markdown for r in B.markdown_of(B.page_blocks(pages, "page_id", "html"), "page_id").collect()}
+    assert found[1] == MARKDOWN.replace("\\\\", "\\") and set(found) == {1, 4, 5} and len(found[4]) == 439_999 and found[5] == "deep"
+    lost = {r.page_id: r.n for r in B.marked_pages(pages, "page_id", "html").select("page_id", M.stranded_words(M.F.col("marked")).alias("n")).collect()}
+    assert lost[1] == 3 and lost[5] == 0  # text, lost, words
+
+
+def test_markdown_as_plain_text(spark):
+    from folioflow.functions import markup as M
+
+    source = "# T **b** *i*\n\n> q\n- [l](u) `c` ![p](x)\n  * deep\n1. x\n***\n- - -\n```\n# code\n\n```\nsnake_case _em_ __st__ a * b * c **_n_** ~~s~~\r\n\n\n\nend"
+    want = "T b i\n\nq\n• l c p\n  • deep\n1. x\n\n# code\n\nsnake_case em st a * b * c n s\n\nend"
+    rows = spark.createDataFrame([(source,), ("",), (None,)], "t string").select(M.markdown_plain_text(M.F.col("t"))).collect()
+    assert [r[0] for r in rows] == [want, "", None]
+
+
+def test_ordinals_of_nested_lists(spark):
+    from folioflow.operators import blocks as B
+
+    items = [("bullet", True, 0, 1), ("bullet", True, 1, 1), ("bullet", True, 1, 2), ("bullet", True, 0, 2), ("bullet", True, 1, 1), ("bullet", False, 0, 0), ("bullet", True, 0, 3), ("paragraph", False, 0, 0), ("bullet", True, 0, 1)]
+    blocks = spark.createDataFrame([(1, i, *x[:3]) for i, x in enumerate(items)], "doc long, pos long, kind string, ordered boolean, depth int")
+    assert [r.ordinal for r in B.ordinals(blocks, "doc").orderBy("pos").collect()] == [x[3] for x in items]
+
+
+def test_names_and_headers(spark):
+    from folioflow.functions import cells as C
+
+    names = ["a.tar.GZ", ".bashrc", "x.", "plain", "", None]
+    rows = spark.createDataFrame([(n,) for n in names], "n string").select(C.extension(C.F.col("n")), C.base_name(C.F.col("n")), C.stem(C.F.col("n"))).collect()
+    assert [tuple(r) for r in rows] == [("gz", "a.tar", "a.tar"), ("", ".bashrc", ".bashrc"), ("", "x.", "x"), ("", "plain", "plain"), ("", "", ""), (None, None, None)]
+    row = spark.createDataFrame([([" a", "", "a", "b ", " "],)], "h array<string>").select(C.distinct_headers(C.F.col("h"))).first()
+    assert row[0] == ["a", "column2", "a_3", "b", "column5"]
+    table = spark.createDataFrame([([["a", "b|c"], ["x\r\ny"]],), ([],)], "r array<array<string>>").select(C.padded_pipe_table(C.F.col("r")), C.csv_text(C.F.col("r"))).collect()
+    assert [tuple(r) for r in table] == [("| a | b\\|c |\n| --- | --- |\n| x y |  |", 'a,b|c\r\n"x\r\ny"'), ("", "")]
