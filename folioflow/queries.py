@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from . import operators as O
 from .operators import blocks as B
 from .functions import cells as C
+from .functions import detect as D
 from .functions import markup as M
 from .plans import routes as R
 from .plans.catalog import ALIASES, FIDELITY, FORMATS, values
 from .sources import document_sizes, table
+from .sources.delimited import read_delimited
 
 SIZES = """sizes AS (
     SELECT 'html' AS fmt, coalesce(strlen(html), 0) AS bytes FROM pages UNION ALL SELECT 'txt', coalesce(strlen(text), 0) FROM documents UNION ALL SELECT 'json', coalesce(strlen(props), 0) FROM events)"""
@@ -73,7 +75,6 @@ BUDGET = 1 << 20
 
 #: Names of extensions with the format each stands for, and what the first bytes say.
 KNOWN = values("known", "name, format", [*[(f, f) for f, _ in FORMATS], *ALIASES])
-TEXTUAL = ("md", "txt", "csv", "html", "json")
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,6 +238,24 @@ def csv_texts(s: SparkSession, d: str) -> DataFrame:
     return listed.select("conv_id", C.csv_text(F.col("rows")).alias("csv"), C.padded_pipe_table(F.col("rows")).alias("md"))
 
 
+def csv_rows(s: SparkSession, d: str) -> DataFrame:
+    """Conversations written as CSV texts and read back: the cells of each turn."""
+    texts = csv_texts(s, d).select("conv_id", "csv", F.lit(",").alias("delimiter"))
+    rows = read_delimited(texts, "conv_id", "csv", "delimiter").filter("pos > 0")
+    return rows.select("conv_id", "pos", F.get("cells", F.lit(0)).alias("role"), F.get("cells", F.lit(1)).alias("text"))
+
+
+def deck_texts(s: SparkSession, d: str) -> DataFrame:
+    """Slides as numbered blocks of text, and as Markdown with a heading for each."""
+    number = F.concat(F.lit("Slide "), F.col("section").cast("string"))
+    lines = F.when(F.col("n_bullets") > 0, F.concat(F.lit("\n"), F.col("body"))).otherwise("")
+    text = F.concat(number, F.when(F.col("title") != "", F.concat(F.lit("\n"), F.col("title"))).otherwise(""), lines)
+    items = F.when(F.col("n_bullets") > 0, F.concat(F.lit("\n\n- "), F.replace("body", F.lit("\n"), F.lit("\n- ")))).otherwise("")
+    md = F.concat(F.lit("## "), F.when(F.col("title") != "", F.col("title")).otherwise(number), items)
+    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", c))), lambda x: x[c]), "\n\n").alias(c)
+    return slides(s, d).select("doc", "section", text.alias("text"), md.alias("md")).groupBy("doc").agg(joined("text"), joined("md"))
+
+
 def json_header(s: SparkSession, d: str) -> DataFrame:
     """Columns of the records in props, in the order in which they are first seen."""
     keys = table(s, d, "events").select("event_id", F.posexplode(F.json_object_keys("props")).alias("at", "key"))
@@ -298,7 +317,7 @@ def url_formats(s: SparkSession, d: str) -> DataFrame:
 
 def sized_headings(s: SparkSession, d: str) -> DataFrame:
     lines = table(s, d, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("pos"), F.col("l_quantity").alias("size"))
-    return O.heading_levels(lines, ["doc"], "size").select("doc", "pos", "body", F.col("level").cast("int").alias("level"))
+    return O.heading_levels(lines, ["doc"], "pos", "size").select("doc", "pos", "body", F.col("level").cast("int").alias("level"))
 
 
 def baselines(s: SparkSession, d: str) -> DataFrame:
@@ -333,15 +352,10 @@ def delimiters(s: SparkSession, d: str) -> DataFrame:
 
 def page_formats(s: SparkSession, d: str) -> DataFrame:
     """What the name of a page claims, what its first bytes say, whether these differ, and why it is refused, if it is."""
-    head = F.hex(F.substring(F.col("html").cast("binary"), 1, 8))
-    pages = table(s, d, "pages").select("page_id", C.extension(F.regexp_replace("url", "[?#].*$", "")).alias("ext"), head.alias("head"))
+    pages = table(s, d, "pages").select("page_id", C.extension(F.regexp_replace("url", "[?#].*$", "")).alias("ext"), F.col("html").cast("binary").alias("content"))
     found = pages.join(F.broadcast(s.sql(f"WITH {KNOWN} SELECT name, format AS claimed FROM known")), F.col("ext") == F.col("name"), "left")
-    starts = lambda x: F.col("head").startswith(x)
-    textual = F.col("claimed").isin(*TEXTUAL)
-    empty = F.coalesce(F.col("head"), F.lit("")) == ""
-    fmt = F.when(empty, F.col("claimed")).when(starts("504B0304"), None).when(starts("25504446"), "pdf").when(starts("7B5C727466"), "rtf").when(starts("D0CF11E0A1B11AE1"), None).when(textual, F.col("claimed"))
-    reason = F.when(empty, "").when(starts("504B0304"), "archive").when(starts("25504446") | starts("7B5C727466"), "").when(starts("D0CF11E0A1B11AE1"), "old_office").when(textual, "").when(F.col("claimed").isNotNull(), "other_bytes").otherwise("unknown")
-    return found.select("page_id", F.coalesce("claimed", F.lit("")).alias("claimed"), F.coalesce(fmt, F.lit("")).alias("found"), F.coalesce(fmt != F.col("claimed"), F.lit(False)).alias("mismatch"), reason.alias("reason"))
+    read = found.select("page_id", "claimed", D.detected(F.col("claimed"), F.col("content")).alias("is"))
+    return read.select("page_id", F.coalesce("claimed", F.lit("")).alias("claimed"), F.coalesce("is.format", F.lit("")).alias("found"), "is.mismatch", "is.reason")
 
 
 def matrix_totals(s: SparkSession, d: str) -> DataFrame:
@@ -374,6 +388,8 @@ _notes = lambda q: f"WITH {NOTES} {q}"
 _quoted = lambda c: f"CASE WHEN regexp_matches({c}, '[\",' || chr(10) || chr(13) || ']') THEN '\"' || replace({c}, '\"', '\"\"') || '\"' ELSE {c} END"
 _slug = lambda c: f"regexp_replace(regexp_replace(trim({c}), '[^\\p{{L}}\\p{{N}}]+', '-', 'g'), '^-+|-+$', '', 'g')"
 SQL = {
+    "csv_rows": "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos, role, coalesce(text, '') AS text FROM conversations",
+    "deck_texts": f"WITH {NOTES}, b AS (SELECT *, CASE WHEN line LIKE '# %' THEN 1 ELSE 0 END AS h, regexp_replace(line, '^(#|>|-|1[.]) ', '') AS t FROM notes), n AS (SELECT *, CAST(sum(h) OVER (PARTITION BY doc ORDER BY pos) AS BIGINT) AS section FROM b), s AS (SELECT * FROM (SELECT doc, section, coalesce(max(t) FILTER (WHERE h = 1), '') AS title, count(*) FILTER (WHERE h = 0) AS n_bullets, coalesce(string_agg(t, chr(10) ORDER BY pos) FILTER (WHERE h = 0), '') AS body FROM n GROUP BY doc, section) WHERE title <> '' OR n_bullets > 0), t AS (SELECT doc, section, 'Slide ' || section || CASE WHEN title <> '' THEN chr(10) || title ELSE '' END || CASE WHEN n_bullets > 0 THEN chr(10) || body ELSE '' END AS x, '## ' || CASE WHEN title <> '' THEN title ELSE 'Slide ' || section END || CASE WHEN n_bullets > 0 THEN chr(10) || chr(10) || '- ' || replace(body, chr(10), chr(10) || '- ') ELSE '' END AS m FROM s) SELECT doc, string_agg(x, chr(10) || chr(10) ORDER BY section) AS text, string_agg(m, chr(10) || chr(10) ORDER BY section) AS md FROM t GROUP BY doc",
     "order_headers": "WITH h AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS i, CASE WHEN l_quantity < 5 THEN '' ELSE 'q' || CAST(floor(l_quantity / 10) AS BIGINT) END AS n FROM lineitem), d AS (SELECT k, i, CASE WHEN n = '' THEN 'column' || i WHEN row_number() OVER (PARTITION BY k, n ORDER BY i) > 1 THEN n || '_' || i ELSE n END AS n FROM h) SELECT k AS l_orderkey, string_agg(n, '|' ORDER BY i) AS header FROM d GROUP BY k",
     "page_names": r"WITH n AS (SELECT page_id, regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)$', 1) AS n FROM pages), e AS (SELECT *, lower(regexp_extract(n, '^.+\.([^.]+)$', 1)) AS extension FROM n) SELECT page_id, extension, CASE WHEN extension = '' THEN n ELSE left(n, length(n) - length(extension) - 1) END AS base, CASE WHEN strpos(substr(n, 2), '.') > 0 THEN left(n, length(n) - strpos(reverse(n), '.')) ELSE n END || '.md' AS output FROM e",
     "json_header": "SELECT key, event_id, place FROM (SELECT key, event_id, place, row_number() OVER (PARTITION BY key ORDER BY event_id, place) AS k FROM (SELECT event_id, unnest(range(len(json_keys(props)))) AS place, unnest(json_keys(props)) AS key FROM events)) WHERE k = 1",

@@ -133,3 +133,39 @@ def test_names_and_headers(spark):
     assert row[0] == ["a", "column2", "a_3", "b", "column5"]
     table = spark.createDataFrame([([["a", "b|c"], ["x\r\ny"]],), ([],)], "r array<array<string>>").select(C.padded_pipe_table(C.F.col("r")), C.csv_text(C.F.col("r"))).collect()
     assert [tuple(r) for r in table] == [("| a | b\\|c |\n| --- | --- |\n| x y |  |", 'a,b|c\r\n"x\r\ny"'), ("", "")]
+
+
+def test_unique_names_skip_those_taken(spark):
+    from folioflow import operators as O
+
+    names = ["a.csv", "a.csv", "a-2.csv", "a.csv", "b", "b", ".rc", ".rc", "a-4.csv", "a.csv"]
+    found = O.unique_names(spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i long, n string"), "n", "i", share=3).orderBy("i").collect()
+    got = [r.unique_name for r in found]
+    assert len(set(got)) == len(names) and got == ["a.csv", "a-3.csv", "a-2.csv", "a-5.csv", "b", "b-2", ".rc", ".rc-2", "a-4.csv", "a-6.csv"]
+
+
+def test_delimited_rows(spark):
+    from folioflow.sources.delimited import read_delimited, rows_of
+
+    assert rows_of('a,"b ""q"" c"\r\n,\n"x\ny",z"w,"v,\n', ",") == [["a", 'b "q" c'], ["x\ny", "zw,v", ""]]
+    assert rows_of('a;"open;\n rest', ";") == [["a", "open;\n rest"]] and rows_of("", ",") == rows_of("\n,,\n", ",") == [] and rows_of("a|b|", "|") == [["a", "b", ""]]
+    long = "cell," * 200_000
+    docs = spark.createDataFrame([(1, "x,y", ","), (2, None, ","), (3, "p\tq", "\t"), (4, long, ",")], "k long, t string, d string")
+    assert {(r.k, r.pos, len(r.cells)) for r in read_delimited(docs, "k", "t", "d").collect()} == {(1, 0, 2), (3, 0, 2), (4, 0, 200_001)}
+
+
+def test_what_bytes_types_and_messages_say(spark):
+    from folioflow.functions import detect as D
+
+    F = D.F
+    heads = [("docx", b"PK\x03\x04rest", (None, False, "archive")), ("docx", b"%PDF-1.4", ("pdf", True, "")), (None, b"{\\rtf1", ("rtf", False, "")), ("docx", bytes.fromhex(D.OLD_OFFICE), (None, False, "old_office")), ("md", b"<html>", ("md", False, "")), ("pdf", b"text", (None, False, "other_bytes")), (None, b"text", (None, False, "unknown")), ("pdf", b"", ("pdf", False, "")), ("md", None, ("md", False, ""))]
+    rows = spark.createDataFrame([(c, h) for c, h, _ in heads], "c string, h binary").select(D.detected(F.col("c"), F.col("h")).alias("x")).select("x.*").collect()
+    assert [tuple(r) for r in rows] == [x for _, _, x in heads]
+    rows = spark.createDataFrame([("docx", "xlsx"), ("docx", "docx"), (None, "odt"), ("docx", None)], "c string, i string").select(D.settled(F.col("c"), F.col("i")).alias("x")).select("x.*").collect()
+    assert [tuple(r) for r in rows] == [("xlsx", True, ""), ("docx", False, ""), ("odt", False, ""), (None, False, "not_a_document")]
+    one = lambda f, values, kind="string": [r[0] for r in spark.createDataFrame([(v,) for v in values], f"v {kind}").select(f(F.col("v"))).collect()]
+    assert one(D.odf_kind, [" application/vnd.oasis.opendocument.text-template\n".strip(), "application/vnd.oasis.opendocument.presentation", "text/plain", None]) == ["odt", "odp", None, None]
+    assert one(D.failure, ["File is ENCRYPTED", "Can't find end of central directory", "Invalid PDF structure", "oops", None]) == ["password", "damaged", "not_pdf", "unreadable", "unreadable"]
+    assert one(D.listed, [["b"], ["c", "a", "b"], ["x, y or z", "a"], []], "array<string>") == ["b", "a, b and c", "a; and x, y or z", ""]
+    assert one(D.delimiter_name, [",", ";", "\t", "|"]) == ["comma", "semicolon", "tab", "pipe"]
+    assert len(D.accepted()) == 25 and D.accepted()[0] == ".pdf"
