@@ -10,6 +10,10 @@ but the last return the columns of documents (doc_id, text, lang, source, n_char
    rows that link with nothing stay. Of rows that are equal in all columns one stays, even if they have no words to be linked by.
 4. mixing: each document is used as often as its rate says, rounded by a keyed hash; a document used twice is two rows.
 5. pieces: the ids of each document under seeded merge-dropout.
+
+Cases: null and empty texts go with the quality rules, which want ten words; a null doc_id passes every other stage (in line_dedup all
+rows without one are one document; in mixing it hashes like any other id); ties go as said above; texts of any length are taken whole;
+empty tables give no rows; columns beside those of documents are left out by the first stage. This module needs folioflow.llm.
 """
 
 from __future__ import annotations
@@ -71,5 +75,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: Classifier and keyed dropout are beyond SQL: the stages are tested against brute force instead.
+#: Classifier and keyed dropout are beyond SQL: stages 2 and 3 and the operators of all stages are tested against brute force instead.
 ORACLE_SQL = None
