@@ -18,8 +18,8 @@ def islands(rows: DataFrame, keys: list[str], order: list[str], starts: Column,
     return rows.withColumn(name, F.sum(F.when(starts, 1).otherwise(0)).over(w))
 
 
-def heading_levels(lines: DataFrame, keys: list[str], order: str, size: str, deepest: int = 6) -> DataFrame:
-    """keys, order, body and level: sizes above the body's as headings, the largest first; the body is the upper median of a document's.
+def heading_levels(lines: DataFrame, keys: list[str], order: str, size: str, deepest: int = 6, keep: tuple[str, ...] = ()) -> DataFrame:
+    """keys, order, the columns of `keep`, body and level: sizes above the body's as headings, the largest first; the body is the upper median of a document's.
 
     Equal sizes are counted first, so what a document gathers is a row for each size it has; the lines meet that in one join.
     """
@@ -31,7 +31,7 @@ def heading_levels(lines: DataFrame, keys: list[str], order: str, size: str, dee
     sized = counts.withColumns({"upto": F.sum("n").over(up), "half": half}).withColumn("body", body)
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("q")))
     levels = sized.withColumn("level", F.when(F.col("q") > F.col("body"), F.least(rank, F.lit(deepest))).otherwise(0)).select(*keys, "q", "body", "level")
-    return rounded.join(levels, [*keys, "q"]).select(*keys, order, "body", "level")
+    return rounded.join(levels, [*keys, "q"]).select(*keys, order, *keep, "body", "level")
 
 
 def unique_names(files: DataFrame, name: str, order: str, share: int = 10_000) -> DataFrame:

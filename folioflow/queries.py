@@ -15,7 +15,11 @@ from .functions import markup as M
 from .plans import routes as R
 from .plans.catalog import ALIASES, FIDELITY, FORMATS, values
 from .sources import document_sizes, table
-from .sources.delimited import read_delimited
+from .operators.conversions import convert
+from .operators.rtf import rtf_of, sized_blocks
+from .sources.delimited import read_delimited, sniffed
+from .sources.records import read_json
+from .sources.texts import decoded
 
 SIZES = """sizes AS (
     SELECT 'html' AS fmt, coalesce(strlen(html), 0) AS bytes FROM pages UNION ALL SELECT 'txt', coalesce(strlen(text), 0) FROM documents UNION ALL SELECT 'json', coalesce(strlen(props), 0) FROM events)"""
@@ -342,12 +346,51 @@ def escaped_xml(s: SparkSession, d: str) -> DataFrame:
 
 
 def delimiters(s: SparkSession, d: str) -> DataFrame:
-    head = F.array_join(F.slice(F.split(F.coalesce("text", F.lit("")), "\n"), 1, 20), "\n")
-    bare = F.regexp_replace(head, '"[^"]*("|\\z)', "")  # an open quote takes the rest
-    counts = [(F.length(bare) - F.length(F.replace(bare, F.lit(c), F.lit("")))).alias(f"n{i}") for i, c in enumerate([",", ";", "\t", "|"])]
-    n = [F.col(f"n{i}") for i in range(4)]
-    best = F.greatest(*n)
-    return table(s, d, "documents").select("doc_id", *counts).select("doc_id", F.when(best == 0, ",").when(n[0] == best, ",").when(n[1] == best, ";").when(n[2] == best, "\t").otherwise("|").alias("delimiter"))
+    return sniffed(table(s, d, "documents"), "text", "delimiter").select("doc_id", "delimiter")
+
+
+def decoded_texts(s: SparkSession, d: str) -> DataFrame:
+    """Texts as bytes in four ways, by the id, and read back: UTF-8 without and with its mark, UTF-16 of both orders."""
+    way, text = F.pmod("doc_id", F.lit(4)), F.coalesce("text", F.lit(""))
+    utf16 = lambda mark, name: F.concat(F.unhex(F.lit(mark)), F.encode(text, name))
+    content = F.when(way == 0, F.encode(text, "UTF-8")).when(way == 1, F.concat(F.unhex(F.lit("EFBBBF")), F.encode(text, "UTF-8"))).when(way == 2, utf16("FFFE", "UTF-16LE")).otherwise(utf16("FEFF", "UTF-16BE"))
+    return table(s, d, "documents").select("doc_id", F.octet_length(content).cast("long").alias("n_bytes"), decoded(content).alias("text"))
+
+
+def json_rows(s: SparkSession, d: str) -> DataFrame:
+    """Conversations written as JSON texts, nested and with lists, and read back as sheets."""
+    text = F.coalesce("text", F.lit(""))
+    said = F.struct(text.alias("text"), F.struct(F.length(text).alias("chars")).alias("size"))
+    role = F.coalesce("role", F.lit("")).alias("role")
+    turn = F.struct("turn", role, said.alias("said"), F.array(role, F.lit(None).cast("string"), F.col("turn").cast("string")).alias("parts"))
+    texts = table(s, d, "conversations").groupBy("conv_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list(turn)).alias("turns"), F.count("*").alias("n"))).alias("json"))
+    return read_json(texts, "conv_id", "json").select("conv_id", "name", "pos", F.array_join("cells", "|").alias("cells"), "reason")
+
+
+def note_rtf(s: SparkSession, d: str) -> DataFrame:
+    return rtf_of(note_blocks(s, d).withColumn("rows", F.lit(None).cast("array<array<string>>")), "doc")
+
+
+def sized_paragraphs(s: SparkSession, d: str) -> DataFrame:
+    """Turns as paragraphs: their length gives a size, those of users are bold, some begin like items of lists."""
+    text = F.coalesce("text", F.lit(""))
+    mark = F.when(F.col("turn") % 5 == 2, "• ").when(F.col("turn") % 5 == 3, "12) ").otherwise("")
+    found = table(s, d, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("pos"), (F.length(text) % 4 * 2 + 22).alias("size"), (F.col("role") == "user").alias("bold"), F.concat(mark, text).alias("text"))
+    return sized_blocks(found, "doc").select("doc", "pos", "kind", F.coalesce("level", F.lit(0)).alias("level"), "ordered", "text")
+
+
+def page_text_files(s: SparkSession, d: str) -> DataFrame:
+    """Pages taken to plain text, by way of Markdown."""
+    name = F.regexp_extract(F.regexp_replace("url", "[?#].*$", ""), r"([^/]*)\z", 1)
+    made = convert(table(s, d, "pages").select(F.col("page_id").alias("id"), name.alias("name"), F.col("html").alias("text")), "html", "txt")
+    return made.select(F.col("id").alias("page_id"), "name", "mime", "text", F.array_join("warnings", "|").alias("warnings"), "error")
+
+
+def csv_markdown_files(s: SparkSession, d: str) -> DataFrame:
+    """Conversations as CSV files taken to Markdown."""
+    name = F.concat(F.lit("talk "), F.col("conv_id").cast("string"), F.lit(".v1.csv"))
+    made = convert(csv_texts(s, d).select(F.col("conv_id").alias("id"), name.alias("name"), F.col("csv").alias("text")), "csv", "md")
+    return made.select(F.col("id").alias("conv_id"), "name", "mime", "text", "error")
 
 
 def page_formats(s: SparkSession, d: str) -> DataFrame:
@@ -387,13 +430,44 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _notes = lambda q: f"WITH {NOTES} {q}"
 _quoted = lambda c: f"CASE WHEN regexp_matches({c}, '[\",' || chr(10) || chr(13) || ']') THEN '\"' || replace({c}, '\"', '\"\"') || '\"' ELSE {c} END"
 _slug = lambda c: f"regexp_replace(regexp_replace(trim({c}), '[^\\p{{L}}\\p{{N}}]+', '-', 'g'), '^-+|-+$', '', 'g')"
+def _rtf(text: str) -> str:
+    for old, new in (("'\\'", "'\\\\'"), ("'{'", "'\\{'"), ("'}'", "'\\}'"), ("chr(9)", "'\\tab '"), ("chr(10)", "'\\par '")):
+        text = f"replace({text}, {old}, {new})"
+    unit = lambda n: f"'\\u' || ({n}) || '?'"
+    char = f"CASE WHEN unicode(c) > 65535 THEN {unit('(unicode(c) - 65536) // 1024 - 10240')} || {unit('unicode(c) % 1024 - 9216')} WHEN unicode(c) > 32767 THEN {unit('unicode(c) - 65536')} WHEN unicode(c) > 127 THEN {unit('unicode(c)')} ELSE c END"
+    return f"array_to_string(list_transform(string_split({text}, ''), lambda c: {char}), '')"
+
+
+PAGE_MARKDOWN_SQL = f"""{BLOCKS_SQL}, part AS (SELECT page_id, pos, CASE WHEN lag(kind) OVER w IS NULL THEN '' WHEN kind = 'bullet' AND lag(kind) OVER w = 'bullet' THEN chr(10) ELSE chr(10) || chr(10) END || CASE kind WHEN 'heading' THEN repeat('#', level) || ' ' || text WHEN 'bullet' THEN '- ' || text WHEN 'rule' THEN '---' WHEN 'code' THEN '```' || chr(10) || text || chr(10) || '```' WHEN 'quote' THEN '> ' || replace(text, chr(10), chr(10) || '> ') ELSE text END AS p FROM blocks WINDOW w AS (PARTITION BY page_id ORDER BY pos)),
+    page_markdown AS (SELECT page_id, {trim_sql(replace_sql('t', (chr(92) + 'n{3,}', 'chr(10) || chr(10)')))} AS markdown FROM (SELECT page_id, string_agg(p, '' ORDER BY pos) AS t FROM part GROUP BY page_id))"""
+CSV_TEXTS_SQL = f"WITH r AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations) SELECT conv_id, 'role,text' || chr(13) || chr(10) || string_agg({_quoted('role')} || ',' || {_quoted('text')}, chr(13) || chr(10) ORDER BY turn) AS csv, '| role | text |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || replace(role, '|', '\\|') || ' | ' || replace(replace(text, '|', '\\|'), chr(10), ' ') || ' |', chr(10) ORDER BY turn) AS md FROM r GROUP BY conv_id"
 SQL = {
+    "decoded_texts": r"""SELECT doc_id, CAST(CASE doc_id % 4 WHEN 0 THEN strlen(t) WHEN 1 THEN 3 + strlen(t) ELSE 2 + 2 * (length(t) + length(regexp_replace(t, '[^\x{10000}-\x{10FFFF}]', '', 'g'))) END AS BIGINT) AS n_bytes, t AS text
+        FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""",
+    "json_rows": """WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos FROM conversations)
+        SELECT conv_id, 'turns' AS name, pos, turn || '|' || role || '|' || t || '|' || length(t) || '|' || role || ', , ' || turn AS cells, '' AS reason FROM c UNION ALL SELECT DISTINCT conv_id, 'turns', 0, 'turn|role|said.text|said.size.chars|parts', '' FROM c""",
+    "note_rtf": rf"""WITH {NOTES}, k AS (SELECT doc, pos, left(line, 2) AS mark, {_rtf("regexp_replace(line, '^(#|>|-|1[.]) ', '')")} AS t, sum(CASE WHEN regexp_matches(line, '^[#>] ') THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY pos) AS island FROM notes),
+        o AS (SELECT *, CAST(sum(CASE WHEN mark = '1.' THEN 1 ELSE 0 END) OVER (PARTITION BY doc, island ORDER BY pos) AS INTEGER) AS n FROM k),
+        p AS (SELECT doc, pos, CASE mark WHEN '# ' THEN '\pard\sa180\sb180\b\fs36 ' || t || '\b0\fs24\par' WHEN '> ' THEN '\pard\li560\sa120\i ' || t || '\i0\par' WHEN '- ' THEN '\pard\fi-280\li560\sa90 \bullet\tab ' || t || '\par' ELSE '\pard\fi-280\li560\sa90 ' || n || '.\tab ' || t || '\par' END AS p FROM o)
+        SELECT doc, '{{\rtf1\ansi\ansicpg1252\deff0' || chr(10) || '{{\fonttbl{{\f0\froman Times New Roman;}}{{\f1\fmodern Courier New;}}}}' || chr(10) || '\viewkind4\uc1\pard\f0\fs24' || chr(10) || string_agg(p, chr(10) ORDER BY pos) || chr(10) || '}}' AS rtf FROM p GROUP BY doc""",
+    "sized_paragraphs": r"""WITH p AS (SELECT conv_id AS doc, turn AS pos, length(coalesce(text, '')) % 4 * 2 + 22 AS size, coalesce(role = 'user', FALSE) AS bold, CASE turn % 5 WHEN 2 THEN '• ' WHEN 3 THEN '12) ' ELSE '' END || coalesce(text, '') AS t FROM conversations),
+        m AS (SELECT doc, list_sort(list(size))[len(list(size)) // 2 + 1] AS body FROM p GROUP BY doc),
+        lv AS (SELECT doc, size, least(row_number() OVER (PARTITION BY doc ORDER BY size DESC), 6) AS level FROM (SELECT DISTINCT p.doc, size FROM p JOIN m ON m.doc = p.doc WHERE size > body)),
+        x AS (SELECT p.*, lv.level, coalesce(max(lv.level) OVER (PARTITION BY p.doc), 0) AS deepest, bold AND length(t) <= 120 AND t NOT LIKE '%.' AS run_in, regexp_matches(t, '^\s*[•\-*·]\s+') AS b, regexp_matches(t, '^\s*[0-9]+[.)]\s+') AS n FROM p LEFT JOIN lv ON lv.doc = p.doc AND lv.size = p.size),
+        y AS (SELECT *, CASE WHEN level IS NOT NULL OR run_in THEN 'heading' WHEN b OR n THEN 'bullet' ELSE 'paragraph' END AS kind FROM x)
+        SELECT doc, pos, kind, CAST(coalesce(level, CASE WHEN run_in THEN least(deepest + 1, 6) END, 0) AS INTEGER) AS level, kind = 'bullet' AND NOT b AS ordered,
+            CASE WHEN kind <> 'bullet' THEN t WHEN b THEN regexp_replace(t, '^\s*[•\-*·]\s+', '') ELSE regexp_replace(t, '^\s*[0-9]+[.)]\s+', '') END AS text FROM y""",
+    "page_text_files": f"WITH {PAGE_MARKDOWN_SQL}, line AS (SELECT page_id, i, " + replace_sql("regexp_replace(l[i], '^(---|[*][*][*])$', '')", (r"^\s{0,3}#{1,6}\s+", "''"), (r"^\s{0,3}>\s?", "''"), (r"^(\s*)[-*+]\s+", r"'\1• '"), (r"\[([^\]]*)\]\([^)]*\)", r"'\1'"), (r"[*][*]([^*]+)[*][*]", r"'\1'"), (r"[*]([^*]+)[*]", r"'\1'"))
+        + " AS x FROM (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT page_id, string_split(markdown, chr(10)) AS l FROM page_markdown))), whole AS (SELECT page_id, " + trim_sql(replace_sql("string_agg(x, chr(10) ORDER BY i)", (r"\n{3,}", "chr(10) || chr(10)"))) + " AS text FROM line GROUP BY page_id),"
+        + r" named AS (SELECT page_id, html, regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)$', 1) AS n FROM pages) SELECT page_id, CASE WHEN strpos(substr(n, 2), '.') > 0 THEN left(n, length(n) - strpos(reverse(n), '.')) ELSE n END || '.txt' AS name, 'text/plain' AS mime, coalesce(text, '') AS text, concat_ws('|', "
+        + ", ".join(f"CASE WHEN regexp_matches(html, '{p}', 'i') THEN '.html → .md: {c}:' || len(regexp_extract_all(html, '{p}', 0, 'i')) END" for c, p in LOSS_SQL.items()) + ") AS warnings, CASE WHEN coalesce(text, '') = '' THEN 'empty_output' ELSE '' END AS error FROM named LEFT JOIN whole USING (page_id)",
+    "csv_markdown_files": f"SELECT conv_id, 'talk ' || conv_id || '.v1.md' AS name, 'text/markdown' AS mime, md AS text, '' AS error FROM ({CSV_TEXTS_SQL})",
     "csv_rows": "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos, role, coalesce(text, '') AS text FROM conversations",
     "deck_texts": f"WITH {NOTES}, b AS (SELECT *, CASE WHEN line LIKE '# %' THEN 1 ELSE 0 END AS h, regexp_replace(line, '^(#|>|-|1[.]) ', '') AS t FROM notes), n AS (SELECT *, CAST(sum(h) OVER (PARTITION BY doc ORDER BY pos) AS BIGINT) AS section FROM b), s AS (SELECT * FROM (SELECT doc, section, coalesce(max(t) FILTER (WHERE h = 1), '') AS title, count(*) FILTER (WHERE h = 0) AS n_bullets, coalesce(string_agg(t, chr(10) ORDER BY pos) FILTER (WHERE h = 0), '') AS body FROM n GROUP BY doc, section) WHERE title <> '' OR n_bullets > 0), t AS (SELECT doc, section, 'Slide ' || section || CASE WHEN title <> '' THEN chr(10) || title ELSE '' END || CASE WHEN n_bullets > 0 THEN chr(10) || body ELSE '' END AS x, '## ' || CASE WHEN title <> '' THEN title ELSE 'Slide ' || section END || CASE WHEN n_bullets > 0 THEN chr(10) || chr(10) || '- ' || replace(body, chr(10), chr(10) || '- ') ELSE '' END AS m FROM s) SELECT doc, string_agg(x, chr(10) || chr(10) ORDER BY section) AS text, string_agg(m, chr(10) || chr(10) ORDER BY section) AS md FROM t GROUP BY doc",
     "order_headers": "WITH h AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS i, CASE WHEN l_quantity < 5 THEN '' ELSE 'q' || CAST(floor(l_quantity / 10) AS BIGINT) END AS n FROM lineitem), d AS (SELECT k, i, CASE WHEN n = '' THEN 'column' || i WHEN row_number() OVER (PARTITION BY k, n ORDER BY i) > 1 THEN n || '_' || i ELSE n END AS n FROM h) SELECT k AS l_orderkey, string_agg(n, '|' ORDER BY i) AS header FROM d GROUP BY k",
     "page_names": r"WITH n AS (SELECT page_id, regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)$', 1) AS n FROM pages), e AS (SELECT *, lower(regexp_extract(n, '^.+\.([^.]+)$', 1)) AS extension FROM n) SELECT page_id, extension, CASE WHEN extension = '' THEN n ELSE left(n, length(n) - length(extension) - 1) END AS base, CASE WHEN strpos(substr(n, 2), '.') > 0 THEN left(n, length(n) - strpos(reverse(n), '.')) ELSE n END || '.md' AS output FROM e",
     "json_header": "SELECT key, event_id, place FROM (SELECT key, event_id, place, row_number() OVER (PARTITION BY key ORDER BY event_id, place) AS k FROM (SELECT event_id, unnest(range(len(json_keys(props)))) AS place, unnest(json_keys(props)) AS key FROM events)) WHERE k = 1",
-    "csv_texts": f"WITH r AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations) SELECT conv_id, 'role,text' || chr(13) || chr(10) || string_agg({_quoted('role')} || ',' || {_quoted('text')}, chr(13) || chr(10) ORDER BY turn) AS csv, '| role | text |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || replace(role, '|', '\\|') || ' | ' || replace(replace(text, '|', '\\|'), chr(10), ' ') || ' |', chr(10) ORDER BY turn) AS md FROM r GROUP BY conv_id",
+    "csv_texts": CSV_TEXTS_SQL,
     "md_plain_text": f"WITH {NOTES}, l AS (SELECT doc, pos, " + replace_sql("line", (r"^\s{0,3}#{1,6}\s+", "''"), (r"^\s{0,3}>\s?", "''"), (r"^(\s*)[-*+]\s+", r"'\1• '")) + " AS x FROM notes), t AS (SELECT doc, string_agg(x, chr(10) ORDER BY pos) AS t FROM l GROUP BY doc) SELECT doc, " + trim_sql(replace_sql("t", (r"\n{3,}", "chr(10) || chr(10)"))) + " AS text FROM t",
     "note_markdown": f"WITH {NOTES}, k AS (SELECT *, NOT regexp_matches(line, '^[#>] ') AS b, sum(CASE WHEN regexp_matches(line, '^[#>] ') THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY pos) AS island FROM notes), o AS (SELECT *, CASE WHEN line LIKE '1. %' THEN CAST(sum(CASE WHEN line LIKE '1. %' THEN 1 ELSE 0 END) OVER (PARTITION BY doc, island ORDER BY pos) AS INTEGER) || substr(line, 2) ELSE line END AS part, lag(b) OVER (PARTITION BY doc ORDER BY pos) AS before FROM k), t AS (SELECT doc, string_agg(CASE WHEN before IS NULL THEN '' WHEN before AND b THEN chr(10) ELSE chr(10) || chr(10) END || part, '' ORDER BY pos) AS t FROM o GROUP BY doc) SELECT doc, {trim_sql(replace_sql('t', (chr(92) + 'n{3,}', 'chr(10) || chr(10)')))} AS markdown FROM t",
     "slides": f"WITH {NOTES}, b AS (SELECT *, CASE WHEN line LIKE '# %' THEN 1 ELSE 0 END AS h, regexp_replace(line, '^(#|>|-|1[.]) ', '') AS t FROM notes), n AS (SELECT *, CAST(sum(h) OVER (PARTITION BY doc ORDER BY pos) AS BIGINT) AS section FROM b), s AS (SELECT * FROM (SELECT doc, section, coalesce(max(t) FILTER (WHERE h = 1), '') AS title, count(*) FILTER (WHERE h = 0) AS n_bullets, coalesce(string_agg(t, chr(10) ORDER BY pos) FILTER (WHERE h = 0), '') AS body FROM n GROUP BY doc, section) WHERE title <> '' OR n_bullets > 0) SELECT * FROM s",
@@ -401,7 +475,7 @@ SQL = {
     "admission": f"WITH {SIZES}, first(src, target) AS (VALUES ('html', 'pdf'), ('txt', 'pdf'), ('json', 'pdf')) SELECT fmt AS src, count(*) AS n_docs, count(*) FILTER (WHERE bytes = 0) AS n_empty, count(*) FILTER (WHERE bytes > 104857600) AS n_too_large, target FROM sizes JOIN first ON src = fmt GROUP BY fmt, target",
     "all_routes": R.planner("SELECT 1").removesuffix("SELECT 1") + f", {SIZES}, c AS (SELECT fmt, count(*) AS n_docs FROM sizes GROUP BY fmt) SELECT src, dst, CASE WHEN via = '' THEN src || '>' || dst ELSE src || '>' || via || '>' || dst END AS steps, ['exact', 'good', 'lossy'][rank + 1] AS fidelity, CASE WHEN via = '' THEN '' ELSE 'two_steps:' || via END AS caveat, coalesce(n_docs, 0) AS n_docs FROM routes LEFT JOIN c ON fmt = src",
     "stranded_words": f"WITH {REDUCED_SQL}, rest AS (SELECT page_id, {trim_sql(replace_sql(plain_sql(replace_sql('h', (ELEMENT_SQL, chr(39) * 2))), ('[•' + chr(92) + 's]+', chr(39) + ' ' + chr(39))))} AS t FROM reduced) SELECT page_id, CAST(CASE WHEN t = '' THEN 0 ELSE len(string_split(t, ' ')) END AS BIGINT) AS n_words FROM rest",
-    "page_markdown": f"WITH {BLOCKS_SQL}, part AS (SELECT page_id, pos, CASE WHEN lag(kind) OVER w IS NULL THEN '' WHEN kind = 'bullet' AND lag(kind) OVER w = 'bullet' THEN chr(10) ELSE chr(10) || chr(10) END || CASE kind WHEN 'heading' THEN repeat('#', level) || ' ' || text WHEN 'bullet' THEN '- ' || text WHEN 'rule' THEN '---' WHEN 'code' THEN '```' || chr(10) || text || chr(10) || '```' WHEN 'quote' THEN '> ' || replace(text, chr(10), chr(10) || '> ') ELSE text END AS p FROM blocks WINDOW w AS (PARTITION BY page_id ORDER BY pos)) SELECT page_id, {trim_sql(replace_sql('t', (chr(92) + 'n{3,}', 'chr(10) || chr(10)')))} AS markdown FROM (SELECT page_id, string_agg(p, '' ORDER BY pos) AS t FROM part GROUP BY page_id)",
+    "page_markdown": f"WITH {PAGE_MARKDOWN_SQL} SELECT page_id, markdown FROM page_markdown",
     "page_blocks": f"WITH {BLOCKS_SQL} SELECT page_id, pos, kind, coalesce(level, 0) AS level, coalesce(text, '') AS text FROM blocks",
     "loss_tiers": r"SELECT 'lost' AS severity, count(*) AS n_pages FROM pages WHERE regexp_matches(html, '<(script|img|picture|iframe|embed|form)\b', 'i') UNION ALL SELECT 'changed', count(*) FROM pages WHERE regexp_matches(html, '<style\b|<link\b[^>]*stylesheet', 'i')",
     "html_plain_text": f"SELECT page_id, CAST(length(text) AS BIGINT) AS n_chars, text FROM (SELECT page_id, {plain_sql('html')} AS text FROM pages)",

@@ -34,6 +34,15 @@ def rows_of(text: str, delimiter: str) -> list[list[str]]:
     return [r for r in rows if any(r)]
 
 
+def sniffed(docs: DataFrame, text: str, name: str) -> DataFrame:
+    """Adds the delimiter of each text: that met most in its first 20 lines outside quotes; of equals the first of , ; tab |, without any a comma."""
+    head = F.array_join(F.slice(F.split(F.coalesce(text, F.lit("")), "\n"), 1, 20), "\n")
+    bare = F.regexp_replace(head, '"[^"]*("|\\z)', "")  # an open quote takes the rest
+    marks = (",", ";", "\t", "|")
+    counts = F.array(*[F.struct((F.length("_bare") - F.length(F.replace("_bare", F.lit(c), F.lit("")))).alias("n"), F.lit(-i).alias("at"), F.lit(c).alias("c")) for i, c in enumerate(marks)])
+    return docs.withColumn("_bare", bare).withColumn(name, F.array_max(counts)["c"]).drop("_bare")
+
+
 def read_delimited(docs: DataFrame, key: str, text: str, delimiter: str) -> DataFrame:
     """key, pos (from 0) and cells: the rows of each document's text; `delimiter` names the column that says what separates its cells.
 

@@ -169,3 +169,63 @@ def test_what_bytes_types_and_messages_say(spark):
     assert one(D.listed, [["b"], ["c", "a", "b"], ["x, y or z", "a"], []], "array<string>") == ["b", "a, b and c", "a; and x, y or z", ""]
     assert one(D.delimiter_name, [",", ";", "\t", "|"]) == ["comma", "semicolon", "tab", "pipe"]
     assert len(D.accepted()) == 25 and D.accepted()[0] == ".pdf"
+
+
+def test_bytes_as_text(spark):
+    from folioflow.sources.texts import decoded
+
+    cases = [("é a".encode(), "é a"), (b"\xef\xbb\xbfa", "a"), (b"\xff\xfe" + "é😀".encode("utf-16-le"), "é😀"), (b"\xfe\xff" + "é😀".encode("utf-16-be"), "é😀"), (b"a\xff", "a\ufffd"), (b"\xff\xfea", "\ufffd"), (b"\xfe\xff", ""), (b"", ""), (None, None)]
+    got = spark.createDataFrame([(bytearray(b) if b is not None else None,) for b, _ in cases], "b binary").select(decoded(core.F.col("b"))).collect()
+    assert [r[0] for r in got] == [t for _, t in cases]
+
+
+def test_json_texts_as_sheets(spark):
+    from folioflow.sources.records import read_json, sheets_of
+
+    assert sheets_of('[{"a": {"b": 1, "c": [1, null, {"d": "é"}]}}, {"e": true, "a": 2.0}]') == ([("Sheet1", [["a.b", "a.c", "e", "a"], ["1", '1, , {"d":"é"}', "", ""], ["", "", "true", "2"]])], "")
+    assert sheets_of('[[1, "x"], []]') == ([("Sheet1", [["1", "x"], []])], "") and sheets_of('{"a": [1], "b": 2, "c": []}') == ([("a", [["value"], ["1"]]), ("c", [])], "")
+    assert sheets_of('{"b": null}') == ([("Sheet1", [["b"], [""]])], "") and [sheets_of(t)[1] for t in ("[]", "7", "null", "{", "NaN", "", "[" * 200_000)] == ["empty", "single_value", "single_value", "invalid", "invalid", "invalid", "invalid"]
+    got = read_json(spark.createDataFrame([(1, '[{"a": 1}]'), (2, None), (3, '{"a": []}')], "k long, t string"), "k", "t").collect()
+    assert sorted((r.k, r.pos, r.cells, r.reason) for r in got if r.k == 1) == [(1, 0, ["a"], ""), (1, 1, ["1"], "")]
+    assert sorted((r.k, r.cells, r.reason) for r in got if r.k > 1) == [(2, None, "invalid"), (3, None, "empty")]
+
+
+def test_blocks_as_rtf(spark):
+    from folioflow.operators.rtf import rtf_of
+
+    def block(pos, kind, text=None, level=None, ordered=False, depth=0, rows=None):
+        return (1, pos, kind, level, ordered, depth, text, rows)
+
+    blocks = [
+        block(0, "heading", "T {1}", 2), block(1, "bullet", "x", ordered=True), block(2, "bullet", "y", ordered=True, depth=9), block(3, "rule"), block(4, "code", "a\tb\n\\c"), block(5, "quote", "é—😀"), block(6, "table", rows=[["p", "q"], ["r", None]]),
+        block(7, "table", rows=[]), block(8, "paragraph", None), (2, 0, "paragraph", None, False, 0, "\uffe6", None),
+    ]
+    got = {r.k: r.rtf.split("\n")[3:] for r in rtf_of(spark.createDataFrame(blocks, "k long, pos int, kind string, level int, ordered boolean, depth int, text string, rows array<array<string>>").repartition(3), "k").collect()}
+    assert got[1] == [
+        r"\pard\sa180\sb180\b\fs30 T \{1\}\b0\fs24\par", r"\pard\fi-280\li560\sa90 1.\tab x\par", r"\pard\fi-280\li3360\sa90 1.\tab y\par", r"\pard\brdrb\brdrs\brdrw10\brsp20 \par\pard", r"\pard\f1\fs20 a\tab b\par", r"\pard\f1\fs20 \\c\par", r"\pard\f0\fs24",
+        r"\pard\li560\sa120\i \u233?\u8212?\u-10179?\u-8704?\i0\par", r"\pard\sa60 p\tab q\par", r"\pard\sa60 r\tab \par", r"\pard\sa120 \par", "}",
+    ]
+    assert got[2] == [r"\pard\sa120 \u-26?\par", "}"]
+
+
+def test_sized_paragraphs_as_blocks(spark):
+    from folioflow.operators.rtf import sized_blocks
+
+    rows = [(1, 0, 36, False, "Title"), (1, 1, 30, False, "Part."), (1, 2, 24, True, "Run in"), (1, 3, 24, True, "Bold."), (1, 4, None, None, "• item"), (1, 5, 24, False, "3) third"), (1, 6, 20, False, None), (1, 7, 24, True, "b" * 121), (2, 0, 50, False, "alone")]
+    got = sized_blocks(spark.createDataFrame(rows, "k long, pos int, size int, bold boolean, text string"), "k").orderBy("k", "pos").collect()
+    assert [(r.kind, r.level, r.ordered, r.text) for r in got] == [
+        ("heading", 1, False, "Title"), ("heading", 2, False, "Part."), ("heading", 3, False, "Run in"), ("paragraph", None, False, "Bold."), ("bullet", None, False, "item"), ("bullet", None, True, "third"), ("paragraph", None, False, ""), ("paragraph", None, False, "b" * 121), ("paragraph", None, False, "alone"),
+    ]
+
+
+def test_conversions_follow_routes(spark):
+    from folioflow.operators.conversions import convert
+
+    files = spark.createDataFrame([(1, "a.b.html", "<script>x</script><h1>T</h1><ul><li>i</li></ul>"), (2, ".html", ""), (3, "n", None)], "id long, name string, text string")
+    got = {r.id: (r.name, r.mime, r.text, r.warnings, r.error) for r in convert(files, "html", "txt").collect()}
+    assert got == {1: ("a.b.txt", "text/plain", "T\n\n• i", [".html → .md: html_scripts:1"], ""), 2: (".html.txt", "text/plain", "", [], "empty_output"), 3: ("n.txt", "text/plain", "", [], "empty_output")}
+    table = spark.createDataFrame([(1, "t.csv", 'a;b\r\n"x;y";"p|q"\r\nonly')], "id long, name string, text string")
+    assert convert(table, "csv", "md").first().text == "| a | b |\n| --- | --- |\n| x;y | p\\|q |\n| only |  |" and convert(table, "csv", "txt").first().text.startswith("a;b\r\n")
+    for pair in (("pdf", "csv"), ("pdf", "txt")):
+        with pytest.raises(ValueError):
+            convert(files, *pair)
