@@ -79,15 +79,15 @@ def html_plain_text(html: Column) -> Column:
 
 def divided_html(body: Column) -> Column:
     """Divisions of text alone as paragraphs, others unwrapped, innermost first: as many passes as there are divisions."""
-    inner = r"(?i)<div\b[^>]*>((?:(?!<div\b)[\s\S])*?)</div>"
-    plain = r"(?i)<div\b[^>]*>((?:(?!<div\b|<(?:p|h[1-6]|ul|ol|li|table|tr|td|blockquote|pre|hr|dl|dt|dd)\b)[\s\S])*?)</div>"
+    inner = r"(?i)<div\b[^>]*>((?>[\s\S]*?(?=<div\b|</div>)))</div>"
+    plain = r"(?i)<div\b[^>]*>((?>[\s\S]*?(?=<(?:div|p|h[1-6]|ul|ol|li|table|tr|td|blockquote|pre|hr|dl|dt|dd)\b|</div>)))</div>"
     once = lambda x, _: F.regexp_replace(F.regexp_replace(x, plain, "<p>$1</p>"), inner, "$1")
     return replaced(F.aggregate(F.sequence(F.lit(0), F.regexp_count(body, F.lit(r"(?i)<div\b"))), body, once), DEFINITIONS)
 
 
 def marked_items(html: Column) -> Column:
     """Each list item closed before a list inside it, and its opening tag with the depth and kind of the list it is in."""
-    flat = F.regexp_replace(html, r"(?i)<li\b([^>]*)>((?:(?!</?li\b)[\s\S])*?)(<(?:ul|ol)\b)", "<li$1>$2</li>$3")
+    flat = F.regexp_replace(html, r"(?i)<li\b([^>]*)>((?>[\s\S]*?(?=</?li\b|<(?:ul|ol)\b)))(<(?:ul|ol)\b)", "<li$1>$2</li>$3")
     tags, gaps = F.regexp_extract_all(flat, F.lit(r"(?i)</?(?:ol|ul|li)\b"), F.lit(0)), F.split(flat, r"(?i)</?(?:ol|ul|li)\b")
 
     def step(held: Column, tag: Column) -> Column:
@@ -138,25 +138,32 @@ def escape_xml(text: Column) -> Column:
 
 # What goes from a line of Markdown, in this order; then marks inside it, until none is left.
 MARKDOWN_LINE = ((r"^\s{0,3}#{1,6}\s+", ""), (r"^\s{0,3}>\s?", ""), (r"^(\s*)[-*+]\s+", "$1• "), (r"^(\s*)(\d+)\.\s+", "$1$2. "))
+#: All up to the next mark, with at least one character: atomic, so that neither long texts nor unclosed marks go deep or back.
+UP_TO = r"(?>[\s\S]+?(?={}))"
+STARS = UP_TO.format(r"\*\*")
+#: A mark with a space inside its ends is no mark: it is matched as a whole and stays.
 MARKS = (
     (r"!\[([^\]]*)\]\([^)]*\)", "$1"),
     (r"\[([^\]]+)\]\([^)]*\)", "$1"),
     (r"`([^`]+)`", "$1"),
-    (r"~~(?!\s)([\s\S]+?)(?<!\s)~~", "$1"),
-    (r"\*\*\*(?!\s)((?:[^*]|\*(?!\*))+?)(?<!\s)\*\*\*", "$1"),
-    (r"\*\*(?!\s)((?:[^*]|\*(?!\*))+?)(?<!\s)\*\*", "$1"),
-    (r"\*(?!\s)([^*]+?)(?<!\s)\*", "$1"),
+    (rf"(~~(?:(?=\s){UP_TO.format('~~')}|{UP_TO.format('~~')}(?<=\s))~~)|~~({UP_TO.format('~~')})~~", "$1$2"),
+    *((rf"({m}(?!\*\*)(?:(?=\s){STARS}|{STARS}(?<=\s)){m})|{m}(?!\*\*)({STARS}){m}", "$1$2") for m in (r"\*\*\*", r"\*\*")),
+    (r"(\*(?:\s[^*]*|[^*]*\s)\*)|\*([^*]+)\*", "$1$2"),
     (r"(^|[^\w])__(?!\s)([\s\S]+?)(?<!\s)__(?!\w)", "$1$2"),
     (r"(^|[^\w])_(?!\s)([^_]+?)(?<!\s)_(?!\w)", "$1$2"),
 )
-FENCE = r"^\s*(```|~~~)"
-RULE = r"^\s*((\*\s*){3,}|(-\s*){3,})\z"
+FENCED = r"(?:\A|\r?\n)[^\S\n]*(?:```|~~~)[^\n]*"
+RULE = r"^\s*(?:\*\s*\*\s*\*[\s*]*|-\s*-\s*-[\s-]*)\z"
 
 
 def stripped_marks(text: Column) -> Column:
-    """Markdown's marks inside a line go, innermost ones too: as many passes as there can be pairs of marks."""
-    passes = F.sequence(F.lit(0), F.floor(F.regexp_count(text, F.lit(r"[`~*_\[]")) / 2).cast("int"))
-    return F.aggregate(passes, text, lambda x, _: replaced(x, MARKS))
+    """Markdown's marks inside a line go, innermost ones too: as many passes as it may take, in rounds, until one changes nothing."""
+    root = F.ceil(F.sqrt(F.regexp_count(text, F.lit(r"[`~*_\[]")) / 2 + 1)).cast("int")
+    rounds = F.sequence(F.lit(1), root)
+    begin = F.struct(text.alias("now"), F.lit(None).cast("string").alias("before"))
+    step = lambda x, _: F.when(x["now"].eqNullSafe(x["before"]), x).otherwise(F.struct(replaced(x["now"], MARKS).alias("now"), x["now"].alias("before")))
+    turn = lambda x, _: F.when(x["now"].eqNullSafe(x["before"]), x).otherwise(F.aggregate(rounds, x, step))
+    return F.aggregate(rounds, begin, turn, lambda x: x["now"])
 
 
 def markdown_line(line: Column) -> Column:
@@ -165,10 +172,13 @@ def markdown_line(line: Column) -> Column:
 
 
 def markdown_plain_text(source: Column) -> Column:
-    """Plain text of a whole Markdown source: fences go and what is between them stays as it is."""
-    lines = F.split(source, "\r?\n")
-    fences = lambda i: F.size(F.filter(F.slice(lines, F.lit(1), i + 1), lambda x: x.rlike(FENCE)))
-    inside = lambda x, i: F.when(x.rlike(FENCE), F.lit(None)).when(fences(i) % 2 == 1, x).otherwise(markdown_line(x))
-    simple = lambda x: markdown_line(x)
-    kept = F.when(source.rlike(r"(?m)" + FENCE), F.filter(F.transform(lines, inside), lambda x: x.isNotNull())).otherwise(F.transform(lines, simple))
-    return trimmed(F.regexp_replace(F.array_join(kept, "\n"), r"\n{3,}", "\n\n"))
+    """Plain text of a whole Markdown source: fences go and what is between them stays as it is.
+
+    The source is cut at its fences, so every other part is outside; a part behind a fence begins with the line break of that fence.
+    """
+    parts = F.split(source, FENCED)
+    outside = lambda x: F.array_join(F.transform(F.split(x, "\r?\n"), markdown_line), "\n")
+    shown = lambda x, i: F.when(i % 2 == 1, F.replace(x, F.lit("\r\n"), F.lit("\n"))).otherwise(outside(x))
+    behind = lambda x, i: F.when(i == 0, shown(x, i)).when(x != "", shown(F.regexp_replace(x, r"\A\n", ""), i))
+    kept = F.when(source.rlike(FENCED), F.array_join(F.transform(parts, behind), "\n")).otherwise(outside(source))
+    return trimmed(F.regexp_replace(kept, r"\n{3,}", "\n\n"))

@@ -457,7 +457,7 @@ SQL = {
         y AS (SELECT *, CASE WHEN level IS NOT NULL OR run_in THEN 'heading' WHEN b OR n THEN 'bullet' ELSE 'paragraph' END AS kind FROM x)
         SELECT doc, pos, kind, CAST(coalesce(level, CASE WHEN run_in THEN least(deepest + 1, 6) END, 0) AS INTEGER) AS level, kind = 'bullet' AND NOT b AS ordered,
             CASE WHEN kind <> 'bullet' THEN t WHEN b THEN regexp_replace(t, '^\s*[•\-*·]\s+', '') ELSE regexp_replace(t, '^\s*[0-9]+[.)]\s+', '') END AS text FROM y""",
-    "page_text_files": f"WITH {PAGE_MARKDOWN_SQL}, line AS (SELECT page_id, i, " + replace_sql("regexp_replace(l[i], '^(---|[*][*][*])$', '')", (r"^\s{0,3}#{1,6}\s+", "''"), (r"^\s{0,3}>\s?", "''"), (r"^(\s*)[-*+]\s+", r"'\1• '"), (r"\[([^\]]*)\]\([^)]*\)", r"'\1'"), (r"[*][*]([^*]+)[*][*]", r"'\1'"), (r"[*]([^*]+)[*]", r"'\1'"))
+    "page_text_files": f"WITH {PAGE_MARKDOWN_SQL}, line AS (SELECT page_id, i, " + replace_sql("regexp_replace(l[i], '^(---|[*][*][*])$', '')", (r"^\s{0,3}#{1,6}\s+", "''"), (r"^\s{0,3}>\s?", "''"), (r"^(\s*)[-*+]\s+", r"'\1• '"), (r"\[([^\]]+)\]\([^)]*\)", r"'\1'"), *((rf"({m}(?:\s{x}|{x}\s){m})|{m}({y}){m}", r"'\1\2'") for m, x, y in (("[*][*][*]", "(?:[^*]|[*][^*])*", "(?:[^*]|[*][^*])+?"), ("[*][*]", "(?:[^*]|[*][^*])*", "(?:[^*]|[*][^*])+?"), ("[*]", "[^*]*", "[^*]+"))))
         + " AS x FROM (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT page_id, string_split(markdown, chr(10)) AS l FROM page_markdown))), whole AS (SELECT page_id, " + trim_sql(replace_sql("string_agg(x, chr(10) ORDER BY i)", (r"\n{3,}", "chr(10) || chr(10)"))) + " AS text FROM line GROUP BY page_id),"
         + r" named AS (SELECT page_id, html, regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)$', 1) AS n FROM pages) SELECT page_id, CASE WHEN strpos(substr(n, 2), '.') > 0 THEN left(n, length(n) - strpos(reverse(n), '.')) ELSE n END || '.txt' AS name, 'text/plain' AS mime, coalesce(text, '') AS text, concat_ws('|', "
         + ", ".join(f"CASE WHEN regexp_matches(html, '{p}', 'i') THEN '.html → .md: {c}:' || len(regexp_extract_all(html, '{p}', 0, 'i')) END" for c, p in LOSS_SQL.items()) + ") AS warnings, CASE WHEN coalesce(text, '') = '' THEN 'empty_output' ELSE '' END AS error FROM named LEFT JOIN whole USING (page_id)",

@@ -229,3 +229,23 @@ def test_conversions_follow_routes(spark):
     for pair in (("pdf", "csv"), ("pdf", "txt")):
         with pytest.raises(ValueError):
             convert(files, *pair)
+
+
+def test_long_markdown_with_fences_and_many_marks(spark):
+    from folioflow.functions.markup import markdown_plain_text
+
+    cases = [
+        ("a *b*\r\n```py\r\n*x*\r\n\r\n# y\r\n```\r\n# c", "a b\n*x*\n\n# y\nc"), ("```\n*in*", "*in*"), ("~~~\n~~~\nz", "z"), ("p\n```\n```\n```\n> q\n  ~~~\n> r", "p\n> q\nr"), ("x ``` *y*", "x ``` y"), ("", ""), (None, None),
+        ("***~~**deep**~~***", "deep"), ("*a *b*", "*a *b*"), ("w " + "**a " * 50_000, ("w " + "**a " * 50_000).strip()), ("* " * 200_000 + "\nend", "end"), ("w " + "*a* " * 50_000, "w " + ("a " * 50_000).strip()), ("```\n" + "# l\n" * 100_000 + "```", ("# l\n" * 100_000).strip()),
+    ]
+    got = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string").select("i", markdown_plain_text(core.F.col("t"))).collect()
+    assert [r[1] for r in sorted(got)] == [t for _, t in cases]
+
+
+def test_long_elements_of_pages(spark):
+    from folioflow.operators.blocks import page_blocks
+
+    words = "word " * 100_000
+    html = f"<div><div>{words}</div><p>{words}</p></div><div>{words}<li>lost</div><ul><li>{words}<ul><li>deep</li></ul></li></ul>"
+    got = page_blocks(spark.createDataFrame([(1, html)], "k int, h string"), "k", "h").orderBy("pos").collect()
+    assert [(r.kind, r.depth) for r in got if len(r.text) > 400_000] == [("paragraph", 0), ("paragraph", 0), ("bullet", 0)] and [(r.text, r.depth) for r in got if r.text == "deep"] == [("deep", 1)]
