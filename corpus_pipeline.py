@@ -75,5 +75,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: Classifier and keyed dropout are beyond SQL: stages 2 and 3 and the operators of all stages are tested against brute force instead.
+#: Classifier and keyed dropout are beyond SQL: every stage and run() are tested against brute force instead.
 ORACLE_SQL = None
