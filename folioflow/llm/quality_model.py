@@ -98,9 +98,10 @@ def fit(rows: DataFrame, label: str = "quality", trees: int = 12, depth: int = 3
 
     from .common import sampled
 
-    few = sampled(rows.filter(F.col(label).isNotNull()), max_rows).select(*STATISTICS, F.col(label).cast("double").alias("label"))
-    # dealt and sorted by what the rows hold: a partition that is lost and made again is the same, and so is the model of every run
-    labelled = few.repartition(8, F.xxhash64(*few.columns)).sortWithinPartitions(*few.columns).cache()
+    few = sampled(rows.filter(F.col(label).isNotNull()), max_rows)
+    # dealt and sorted by a hash of the whole row: a partition that is lost and made again is the same, and so is the model of every run
+    dealt = few.select(*STATISTICS, F.col(label).cast("double").alias("label"), F.xxhash64(*[F.col(f"`{c}`") for c in few.columns]).alias("at")).repartition(8, "at")
+    labelled = dealt.sortWithinPartitions("at", *STATISTICS).select(*STATISTICS, "label").cache()
     try:
         counts = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
         ones, every = counts.get(1.0, 0), sum(counts.values())
