@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, line_dedup, mixing, pieces, quality_model, quality_rules, secrets, token_files, topk
+from . import decontaminate, jaccard, langid, line_dedup, mixing, pieces, quality_model, quality_rules, secrets, token_files, topk, turn_trie, vector_codes
 from .common import Scratch, held_out, park, table
 
 #: The installed package that holds public vocabulary files; a path may be given instead.
@@ -102,6 +102,27 @@ def op10_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = turn_trie.sequences(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    head = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9).cast("int")
+    return turn_trie.nodes(turn_trie.with_heads(convs, F.col("conv_id") - F.col("conv_id") % 5, head, 8))
+
+
+def op12_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", decontaminate.n_hit(F.col("hits")).alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    rows, length = vector_codes.prepared(vectors, "vec_id", "embedding", "ints", parts=16, scale=256)
+    rows = Scratch(spark).park(rows.select("vec_id", "label", "ints"))
+    books = vector_codes.fit(rows, "vec_id", "ints", length, parts=16, entries=64, rounds=2)
+    coded = park(vector_codes.encode(rows, "ints", books).select("vec_id", "label", F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "").alias("code"), "error"))
+    summed = vector_codes.with_label_sums(coded, "label", "error", "label_error")
+    return summed.select("vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -109,10 +130,32 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_language_id, op2_secret_scan, op3_exact_topk, op4_token_files, op5_ngram_jaccard, op6_quality_rules, op7_line_dedup, op8_quality_score, op9_mix_sources, op10_piece_dropout, pipeline)
+    named = (op1_language_id, op2_secret_scan, op3_exact_topk, op4_token_files, op5_ngram_jaccard, op6_quality_rules, op7_line_dedup, op8_quality_score, op9_mix_sources, op10_piece_dropout, op11_conversation_trie, op12_benchmark_leaks, op13_vector_codes, pipeline)
     return {f.__name__: f for f in named}
 
 
+def _lloyd(n: int, last: bool) -> str:
+    """SQL of one assignment with the entries c{n}, and of the entries that follow."""
+    near = f"""
+        a{n} AS (SELECT vec_id, r, p, x, e, err FROM (
+            SELECT v.vec_id, v.r, v.p, v.x, c.e, list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS err FROM v JOIN c{n} c ON c.p = v.p)
+            QUALIFY row_number() OVER (PARTITION BY r, p ORDER BY err, e) = 1)"""
+    return near if last else near + f""",
+        m{n} AS (SELECT p, e, list(s ORDER BY i) AS x FROM (SELECT p, e, i, CAST(floor(CAST(sum(x[i]) AS DOUBLE) / count(*)) AS BIGINT) AS s FROM (SELECT p, e, x, unnest(range(1, len(x) + 1)) AS i FROM a{n}) GROUP BY p, e, i) GROUP BY p, e),
+        c{n + 1} AS (SELECT c.p, c.e, coalesce(m.x, c.x) AS x FROM c{n} c LEFT JOIN m{n} m ON m.p = c.p AND m.e = c.e)"""
+
+
+VECTOR_CODES_SQL = f"""
+        WITH w AS (
+            SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS r, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        v AS (SELECT vec_id, r, p, w[p * len(w) // 16 + 1:(p + 1) * len(w) // 16] AS x FROM (SELECT vec_id, r, w, unnest(range(0, 16)) AS p FROM w)),
+        c0 AS (SELECT p, r - 1 AS e, x FROM v WHERE r <= 64),{_lloyd(0, False)},{_lloyd(1, False)},{_lloyd(2, True)},
+        o AS (SELECT r, string_agg(printf('%02x', CAST(e AS INTEGER)), '' ORDER BY p) AS code, CAST(sum(err) AS BIGINT) AS error FROM a2 GROUP BY r)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+               (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) FROM c2) AS codebooks_sha256
+        FROM o JOIN w USING (r)"""
+
 SQL = {
     "op3_exact_topk": """
         WITH v AS (
@@ -154,6 +197,31 @@ SQL = {
         m AS (SELECT l.*, c.top IS NOT NULL AND doc_id IS DISTINCT FROM c.top AS gone FROM l LEFT JOIN c ON l.k = c.k)
         SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id""",
+    "op11_conversation_trie": r"""
+        WITH t AS (SELECT conv_id AS c, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST, md5(md5(coalesce(role, '')) || ':' || coalesce(text, ''))) AS w
+                   FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+        crc AS (SELECT c, w, xor(4294967295, list_reduce(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda x, y:
+                    list_reduce(range(8), lambda a, i: xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END), xor(x, y)), 4294967295)) % 9 AS h FROM t),
+        v AS (SELECT a.c, list_concat(coalesce(b.w[1:a.h], []), a.w[a.h + 1:]) AS w FROM crc a LEFT JOIN t b ON b.c = a.c - a.c % 5),
+        p AS (SELECT c, d, w[1:d] AS p, len(w) AS n FROM (SELECT c, w, unnest(range(0, len(w) + 1)) AS d FROM v)),
+        g AS (SELECT p, d, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE n = d), '')) AS ends_sha256 FROM p GROUP BY p, d),
+        k AS (SELECT p[1:d - 1] AS p, count(*) AS n FROM g WHERE d > 0 GROUP BY 1),
+        s AS (SELECT g.p, g.d, (g.n_convs - 1) * CASE WHEN g.d = 0 THEN 0 ELSE strlen(g.p[g.d].t) END AS saved, CASE WHEN k.n IS NULL THEN 1 ELSE 0 END AS leaf FROM g LEFT JOIN k ON k.p = g.p),
+        u AS (SELECT p[1:j] AS p, sum(saved) AS saved, sum(leaf) AS leaves FROM (SELECT p, saved, leaf, unnest(range(0, d + 1)) AS j FROM s) GROUP BY 1)
+        SELECT g.conv_id, CAST(g.d AS BIGINT) AS depth, CASE WHEN g.d > 0 THEN up.conv_id END AS parent_conv_id, CAST(g.n_convs AS BIGINT) AS n_convs, CAST(coalesce(k.n, 0) AS BIGINT) AS n_children,
+               CAST(u.leaves AS BIGINT) AS n_leaves, CAST(u.saved AS BIGINT) AS saved_tokens, g.ends_sha256
+        FROM g JOIN u ON u.p = g.p LEFT JOIN k ON k.p = g.p LEFT JOIN g up ON up.p = g.p[1:g.d - 1] AND up.d = g.d - 1""",
+    "op12_benchmark_leaks": r"""
+        WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        bw AS (SELECT DISTINCT item_id, l, array_to_string(w[i:i + l - 1], ' ') AS g FROM (SELECT item_id, w, least(10, len(w)) AS l, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+        dw AS (SELECT r, l, i, array_to_string(w[i:i + l - 1], ' ') AS g FROM (SELECT r, w, l, unnest(range(1, len(w) - l + 2)) AS i FROM d, (SELECT DISTINCT l FROM bw))),
+        m AS (SELECT dw.r, dw.l, dw.i, bw.item_id FROM dw JOIN bw ON dw.l = bw.l AND dw.g = bw.g),
+        h AS (SELECT r, count(DISTINCT i + k) AS n FROM (SELECT DISTINCT r, i, unnest(range(0, l)) AS k FROM m) GROUP BY r),
+        n AS (SELECT r, count(*) AS n, string_agg(x, ',' ORDER BY x) AS x FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS x FROM m WHERE item_id IS NOT NULL) GROUP BY r)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(n.n, 0) AS BIGINT) AS n_items, sha256(coalesce(n.x, '')) AS items_sha256, h.n IS NOT NULL AS contaminated
+        FROM d LEFT JOIN h USING (r) LEFT JOIN n USING (r)""",
+    "op13_vector_codes": VECTOR_CODES_SQL,
 }
 
 
