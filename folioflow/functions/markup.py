@@ -50,7 +50,6 @@ UNWRAPPED = (
 )
 DEFINITIONS = ((r"(?i)</?dl\b[^>]*>", ""), (r"(?i)<(dt|dd)\b[^>]*>", "<p>"), (r"(?i)</(dt|dd)>", "</p>"))
 BODY = r"(?i)<body\b[^>]*>([\s\S]*?)</body>"
-BLOCK = r"(?i)<(h[1-6]|p|li|blockquote|pre|table)\b[^>]*>[\s\S]*?</\1>|<hr\b[^>]*/?>"
 # Inline elements with the marks that Markdown has for them, innermost first, until none is left.
 INLINE = (
     (r"(?i)<(strong|b|em|i|code)\b[^>]*>(\s*)</\1>", "$2"),
@@ -77,29 +76,18 @@ def html_plain_text(html: Column) -> Column:
     return trimmed(replaced(html, PLAIN))
 
 
-def divided_html(body: Column) -> Column:
-    """Divisions of text alone as paragraphs, others unwrapped, innermost first: as many passes as there are divisions."""
-    inner = r"(?i)<div\b[^>]*>((?>[\s\S]*?(?=<div\b|</div>)))</div>"
-    plain = r"(?i)<div\b[^>]*>((?>[\s\S]*?(?=<(?:div|p|h[1-6]|ul|ol|li|table|tr|td|blockquote|pre|hr|dl|dt|dd)\b|</div>)))</div>"
-    once = lambda x, _: F.regexp_replace(F.regexp_replace(x, plain, "<p>$1</p>"), inner, "$1")
-    return replaced(F.aggregate(F.sequence(F.lit(0), F.regexp_count(body, F.lit(r"(?i)<div\b"))), body, once), DEFINITIONS)
+def settled(text: Column, steps: tuple[tuple[str, str], ...], most: Column) -> Column:
+    """The steps again and again, `most` times if need be, until a pass changes nothing.
 
-
-def marked_items(html: Column) -> Column:
-    """Each list item closed before a list inside it, and its opening tag with the depth and kind of the list it is in."""
-    flat = F.regexp_replace(html, r"(?i)<li\b([^>]*)>((?>[\s\S]*?(?=</?li\b|<(?:ul|ol)\b)))(<(?:ul|ol)\b)", "<li$1>$2</li>$3")
-    tags, gaps = F.regexp_extract_all(flat, F.lit(r"(?i)</?(?:ol|ul|li)\b"), F.lit(0)), F.split(flat, r"(?i)</?(?:ol|ul|li)\b")
-
-    def step(held: Column, tag: Column) -> Column:
-        open_, t = held["lists"], F.lower(tag)  # the open lists, a letter for each
-        last = F.right(open_, F.lit(1))
-        lists = F.when(t.isin("<ul", "<ol"), F.concat(open_, F.substring(t, 2, 1))).when(t.isin("</ul", "</ol") & (last == F.substring(t, 3, 1)), F.left(open_, F.length(open_) - 1)).otherwise(open_)
-        mark = F.concat(tag, F.when(last == "o", " data-ordered").otherwise(""), F.lit(' data-depth="'), F.greatest(F.lit(0), F.length(open_) - 1).cast("string"), F.lit('"'))
-        return F.struct(lists.alias("lists"), F.concat(held["out"], F.array(F.when(t == "<li", mark).otherwise(tag))).alias("out"))
-
-    start = F.struct(F.lit("").alias("lists"), F.array().cast("array<string>").alias("out"))
-    out = F.aggregate(tags, start, step, lambda held: held["out"])
-    return F.concat(F.element_at(gaps, 1), F.array_join(F.zip_with(out, F.slice(gaps, F.lit(2), F.greatest(F.size(gaps) - 1, F.lit(0))), lambda a, b: F.concat(a, b)), ""))
+    Each turn of a loop copies the text, done or not, so the turns are dealt to three loops in each other, of which those that
+    are done are left at once: a text that settles early is copied three times the cube root of `most`.
+    """
+    none, turns = F.lit(None).cast("string"), F.sequence(F.lit(0), F.ceil(F.cbrt(most)).cast("int"))
+    held = lambda now, before, done: F.struct(now.alias("now"), before.alias("before"), F.lit(done).alias("done"))
+    turn = lambda h, _: F.when(h["done"], h).when(h["now"].eqNullSafe(h["before"]), held(h["now"], none, True)).otherwise(held(replaced(h["now"], steps), h["now"], False))
+    inner = lambda h, _: F.when(h["done"], h).otherwise(F.aggregate(turns, h, turn))
+    outer = lambda h, _: F.when(h["done"], h).otherwise(F.aggregate(turns, h, inner))
+    return F.aggregate(turns, held(text, none, False), outer, lambda h: h["now"])
 
 
 def decoded(text: Column) -> Column:
@@ -112,8 +100,7 @@ def decoded(text: Column) -> Column:
 
 def inline_markdown(html: Column) -> Column:
     """Emphasis, code and links as Markdown has them; other tags go, line breaks stay."""
-    once = lambda x, _: replaced(x, INLINE)
-    unwound = F.aggregate(F.sequence(F.lit(0), F.regexp_count(html, F.lit(INLINE_TAG))), html, once)
+    unwound = settled(html, INLINE, F.regexp_count(html, F.lit(INLINE_TAG)) + 1)
     bare = F.regexp_replace(F.regexp_replace(unwound, r"(?i)<\s*br\s*/?>", "\n"), "<[^>]+>", "")
     return trimmed(F.regexp_replace(decoded(bare), r"[ \t]+", " "))
 
@@ -126,9 +113,9 @@ def table_rows(html: Column) -> Column:
     return F.filter(F.transform(rows, cells), lambda r: F.size(r) > 0)
 
 
-def stranded_words(marked: Column) -> Column:
-    """How many words of a page with marked items are in no block."""
-    rest = trimmed(F.regexp_replace(html_plain_text(F.regexp_replace(marked, BLOCK, "")), r"[•\s]+", " "))
+def word_count(html: Column) -> Column:
+    """How many words the text of a part of a page has, bullets aside."""
+    rest = trimmed(F.regexp_replace(html_plain_text(html), r"[•\s]+", " "))
     return F.when(rest == "", 0).otherwise(F.size(F.split(rest, " "))).cast("long")
 
 
@@ -157,13 +144,8 @@ RULE = r"^\s*(?:\*\s*\*\s*\*[\s*]*|-\s*-\s*-[\s-]*)\z"
 
 
 def stripped_marks(text: Column) -> Column:
-    """Markdown's marks inside a line go, innermost ones too: as many passes as it may take, in rounds, until one changes nothing."""
-    root = F.ceil(F.sqrt(F.regexp_count(text, F.lit(r"[`~*_\[]")) / 2 + 1)).cast("int")
-    rounds = F.sequence(F.lit(1), root)
-    begin = F.struct(text.alias("now"), F.lit(None).cast("string").alias("before"))
-    step = lambda x, _: F.when(x["now"].eqNullSafe(x["before"]), x).otherwise(F.struct(replaced(x["now"], MARKS).alias("now"), x["now"].alias("before")))
-    turn = lambda x, _: F.when(x["now"].eqNullSafe(x["before"]), x).otherwise(F.aggregate(rounds, x, step))
-    return F.aggregate(rounds, begin, turn, lambda x: x["now"])
+    """Markdown's marks inside a line go, innermost ones too."""
+    return settled(text, MARKS, F.regexp_count(text, F.lit(r"[`~*_\[]")) / 2 + 1)
 
 
 def markdown_line(line: Column) -> Column:

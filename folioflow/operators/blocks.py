@@ -2,22 +2,45 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from folioflow.functions import cells as C
 from folioflow.functions import markup as M
+from folioflow.functions import pagefold as P
 
 #: Lists are indented and numbered to this depth.
 DEEPEST = 5
 
 
-def marked_pages(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """key and marked: each page reduced to the elements of blocks, list items marked. A column a step, so that none is worked out twice."""
+#: Bytes of pages that one step of a Python task gives out at a time.
+SLICE_BYTES = 4 << 20
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys, start, held, sources, rests = batch.column(0), 0, 0, [], []
+        for i in range(batch.num_rows):
+            html = batch.column(1)[i].as_py()
+            found, rest = (None, None) if html is None else P.blocks(P.marked(P.divided(html)))
+            sources.append(found)
+            rests.append(rest)
+            held += len(html or "")
+            if held > SLICE_BYTES or i + 1 == batch.num_rows:
+                yield pa.RecordBatch.from_arrays([keys[start : i + 1], pa.array(sources, pa.list_(pa.string())), pa.array(rests, pa.string())], names=[batch.schema.names[0], "sources", "rest"])
+                start, held, sources, rests = i + 1, 0, [], []
+
+
+def page_parts(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """key, sources (the elements of blocks in order, list items marked) and rest (the page without them) of each page."""
     dropped = pages.select(key, M.replaced(F.col(html), M.DROPPED).alias("dropped"))
     body = dropped.select(key, F.when(F.col("dropped").rlike(M.BODY), F.regexp_extract("dropped", M.BODY, 1)).otherwise(F.col("dropped")).alias("body"))
-    reduced = body.select(key, M.replaced(F.col("body"), M.UNWRAPPED).alias("reduced")).select(key, M.divided_html(F.col("reduced")).alias("reduced"))
-    return reduced.select(key, M.marked_items(F.col("reduced")).alias("marked"))
+    reduced = body.select(key, M.replaced(F.col("body"), M.UNWRAPPED).alias("reduced"))
+    return reduced.mapInArrow(_folded, StructType([reduced.schema[0], *StructType.fromDDL("sources array<string>, rest string")]))
 
 
 def page_blocks(pages: DataFrame, key: str, html: str) -> DataFrame:
@@ -25,7 +48,7 @@ def page_blocks(pages: DataFrame, key: str, html: str) -> DataFrame:
 
     Blocks without text and tables without cells are left out, so positions may have gaps.
     """
-    found = marked_pages(pages, key, html).select(key, F.posexplode(F.regexp_extract_all("marked", F.lit(M.BLOCK), F.lit(0))).alias("pos", "source"))
+    found = page_parts(pages, key, html).select(key, F.posexplode("sources").alias("pos", "source"))
     tag = F.lower(F.regexp_extract("source", r"^<(\w+)", 1))
     inner = F.regexp_replace("source", r"^<[^>]*>|</[^>]*>\z", "")
     read = found.select(key, "pos", tag.alias("tag"), F.regexp_extract("source", r"^<[^>]*>", 0).alias("opening"), inner.alias("inner"))

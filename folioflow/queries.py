@@ -124,7 +124,7 @@ def page_markdown(s: SparkSession, d: str) -> DataFrame:
 
 
 def stranded_words(s: SparkSession, d: str) -> DataFrame:
-    return B.marked_pages(table(s, d, "pages"), "page_id", "html").select("page_id", M.stranded_words(F.col("marked")).alias("n_words"))
+    return B.page_parts(table(s, d, "pages"), "page_id", "html").select("page_id", M.word_count(F.col("rest")).alias("n_words"))
 
 
 def html_blocks(s: SparkSession, d: str) -> DataFrame:

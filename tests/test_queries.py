@@ -102,7 +102,7 @@ def test_a_page_as_blocks_and_markdown(spark):
     pages = spark.createDataFrame([(1, PAGE), (2, None), (3, ""), (4, "<p>" + "long words " * 40_000 + "</p>"), (5, "<div>" * 30 + "deep" + "</div>" * 30)], "page_id long, html string")
     found = {r.page_id: r.markdown for r in B.markdown_of(B.page_blocks(pages, "page_id", "html"), "page_id").collect()}
     assert found[1] == MARKDOWN.replace("\\\\", "\\") and set(found) == {1, 4, 5} and len(found[4]) == 439_999 and found[5] == "deep"
-    lost = {r.page_id: r.n for r in B.marked_pages(pages, "page_id", "html").select("page_id", M.stranded_words(M.F.col("marked")).alias("n")).collect()}
+    lost = {r.page_id: r.n for r in B.page_parts(pages, "page_id", "html").select("page_id", M.word_count(M.F.col("rest")).alias("n")).collect()}
     assert lost[1] == 3 and lost[5] == 0  # text, lost, words
 
 
