@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from .each import read_each
 
 
 def rows_of(text: str, delimiter: str) -> list[list[str]]:
@@ -48,14 +47,4 @@ def read_delimited(docs: DataFrame, key: str, text: str, delimiter: str) -> Data
 
     A null text has no rows. The parser looks at one document at a time, as quotes may span all of it.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(batch.num_rows):
-                one = batch.slice(at, 1)
-                found = rows_of(one.column("t")[0].as_py() or "", one.column("d")[0].as_py() or ",")
-                if found:
-                    yield pa.RecordBatch.from_arrays([one.column("k").take(pa.array([0] * len(found))), pa.array(range(len(found)), pa.int64()), pa.array(found, pa.list_(pa.string()))], names=[key, "pos", "cells"])
-
-    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("pos", T.LongType()), T.StructField("cells", T.ArrayType(T.StringType()))])
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(delimiter).alias("d")).mapInArrow(run, schema)
+    return read_each(docs, key, [text, delimiter], lambda t, d: enumerate(rows_of(t or "", d or ",")), "pos long, cells array<string>")

@@ -24,5 +24,5 @@ def decoded(content: Column) -> Column:
     """
     head = F.hex(F.substring(content, 1, 3))
     wide = head.startswith(LITTLE) | head.startswith(BIG)
-    bare = F.when(head == UTF8, F.substring(content, 4, 1 << 30)).otherwise(content)
+    bare = F.when(head == UTF8, F.substring(content, F.lit(4), F.octet_length(content))).otherwise(content)
     return F.coalesce(_utf16(F.when(wide, content)), F.make_valid_utf8(bare.cast("string")))

@@ -180,14 +180,23 @@ def test_bytes_as_text(spark):
 
 
 def test_json_texts_as_sheets(spark):
-    from folioflow.sources.records import read_json, sheets_of
-
-    assert sheets_of('[{"a": {"b": 1, "c": [1, null, {"d": "é"}]}}, {"e": true, "a": 2.0}]') == ([("Sheet1", [["a.b", "a.c", "e", "a"], ["1", '1, , {"d":"é"}', "", ""], ["", "", "true", "2"]])], "")
-    assert sheets_of('[[1, "x"], []]') == ([("Sheet1", [["1", "x"], []])], "") and sheets_of('{"a": [1], "b": 2, "c": []}') == ([("a", [["value"], ["1"]]), ("c", [])], "")
-    assert sheets_of('{"b": null}') == ([("Sheet1", [["b"], [""]])], "") and [sheets_of(t)[1] for t in ("[]", "7", "null", "{", "NaN", "", "[" * 200_000)] == ["empty", "single_value", "single_value", "invalid", "invalid", "invalid", "invalid"]
-    got = read_json(spark.createDataFrame([(1, '[{"a": 1}]'), (2, None), (3, '{"a": []}')], "k long, t string"), "k", "t").collect()
-    assert sorted((r.k, r.pos, r.cells, r.reason) for r in got if r.k == 1) == [(1, 0, ["a"], ""), (1, 1, ["1"], "")]
-    assert sorted((r.k, r.cells, r.reason) for r in got if r.k > 1) == [(2, None, "invalid"), (3, None, "empty")]
+    from folioflow.sources.records import read_json
+
+    cases = {
+        '[{"a": {"b": 1, "c": [1, null, {"d": "é"}]}}, {"e": true, "a": 2.0}]': [("Sheet1", 0, ["a.b", "a.c", "e", "a"]), ("Sheet1", 1, ["1", '1, , {"d":"é"}', "", ""]), ("Sheet1", 2, ["", "", "true", "2"])],
+        '[[1, "x"], []]': [("Sheet1", 0, ["1", "x"]), ("Sheet1", 1, [])],
+        '{"a": [1], "b": 2, "c": [], "d": [{"x": 1}, {}]}': [("a", 0, ["value"]), ("a", 1, ["1"]), ("d", 0, ["x"]), ("d", 1, ["1"]), ("d", 2, [""])],
+        '{"b": null}': [("Sheet1", 0, ["b"]), ("Sheet1", 1, [""])],
+        '[{"a": 1}]': [("Sheet1", 0, ["a"]), ("Sheet1", 1, ["1"])],
+        '[{"a": 1, "a": {"b": 2, "b": 1.5}}]': [("Sheet1", 0, ["a.b"]), ("Sheet1", 1, ["1.5"])],
+    }
+    why = {"[]": "empty", "7": "single_value", "null": "single_value", "{": "invalid", "[NaN]": "invalid", "": "invalid", "[" * 200_000: "invalid", None: "invalid", '{"a": []}': "empty", "[{}]": "empty"}
+    texts = [*cases, *why]
+    got = read_json(spark.createDataFrame(list(enumerate(texts)), "k long, t string"), "k", "t").collect()
+    for i, t in enumerate(texts):
+        rows = sorted((r.sheet, r.pos, r.name, r.cells) for r in got if r.k == i and r.pos is not None)
+        assert [(name, pos, cells) for _, pos, name, cells in rows] == cases.get(t, [])
+        assert {r.reason for r in got if r.k == i} == {why.get(t, "")}
 
 
 def test_blocks_as_rtf(spark):
