@@ -47,6 +47,27 @@ def distinct_headers(header: Column) -> Column:
     return F.transform(names, lambda n, i: F.when(n == "", F.concat(F.lit("column"), place(i))).when(again(n, i), F.concat(n, F.lit("_"), place(i))).otherwise(n))
 
 
+def _quoted(text: Column) -> Column:
+    """A text as JSON has it."""
+    listed = F.to_json(F.array(text))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+
+def sheets_json(sheets: Column) -> Column:
+    """Sheets (name, rows) as indented JSON: a list of records, or an object of such lists by the sheets' names, with a line break at the end."""
+
+    def records(rows: Column, indent: str) -> Column:
+        keys = distinct_headers(F.coalesce(F.get(rows, F.lit(0)), F.array().cast("array<string>")))
+        body = F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0)))
+        field = lambda r: lambda k, i: F.concat(F.lit(f"{indent}    "), _quoted(k), F.lit(": "), _quoted(F.coalesce(F.get(r, i), F.lit(""))))
+        record = lambda r: F.when(F.size(keys) == 0, F.lit(f"{indent}  {{}}")).otherwise(F.concat(F.lit(f"{indent}  {{\n"), F.array_join(F.transform(keys, field(r)), ",\n"), F.lit(f"\n{indent}  }}")))
+        return F.when(F.size(body) == 0, "[]").otherwise(F.concat(F.lit("[\n"), F.array_join(F.transform(body, record), ",\n"), F.lit(f"\n{indent}]")))
+
+    named = F.transform(sheets, lambda s: F.concat(F.lit("  "), _quoted(s["name"]), F.lit(": "), records(s["rows"], "  ")))
+    one = records(F.get(sheets, F.lit(0))["rows"], "")
+    return F.concat(F.when(F.size(sheets) == 1, one).otherwise(F.concat(F.lit("{\n"), F.array_join(named, ",\n"), F.lit("\n}"))), F.lit("\n"))
+
+
 def tsv_line(*cells: Column) -> Column:
     return F.concat_ws("\t", *[F.replace(F.coalesce(c, F.lit("")), F.lit("\t"), F.lit(" ")) for c in cells])
 

@@ -48,7 +48,12 @@ def page_blocks(pages: DataFrame, key: str, html: str) -> DataFrame:
 
     Blocks without text and tables without cells are left out, so positions may have gaps.
     """
-    found = page_parts(pages, key, html).select(key, F.posexplode("sources").alias("pos", "source"))
+    return blocks_of(page_parts(pages, key, html), key)
+
+
+def blocks_of(parts: DataFrame, key: str, whole: bool = False) -> DataFrame:
+    """The blocks of `page_parts`; with `whole`, each page has a row at least, if need be one without a kind."""
+    found = parts.select(key, (F.posexplode_outer if whole else F.posexplode)("sources").alias("pos", "source"))
     tag = F.lower(F.regexp_extract("source", r"^<(\w+)", 1))
     inner = F.regexp_replace("source", r"^<[^>]*>|</[^>]*>\z", "")
     read = found.select(key, "pos", tag.alias("tag"), F.regexp_extract("source", r"^<[^>]*>", 0).alias("opening"), inner.alias("inner"))
@@ -63,7 +68,10 @@ def page_blocks(pages: DataFrame, key: str, html: str) -> DataFrame:
         F.when(item, F.coalesce(F.regexp_extract("opening", r'data-depth="(\d+)"', 1).try_cast("int"), F.lit(0))).otherwise(0).alias("depth"),
         F.when(item, F.regexp_replace("text", r"^•\s*", "")).otherwise(F.col("text")).alias("text"), "rows",
     )
-    return blocks.filter((F.col("kind") == "rule") | (F.size("rows") > 0) | (F.col("text") != ""))
+    some = F.coalesce((F.col("kind") == "rule") | (F.size("rows") > 0) | (F.col("text") != ""), F.lit(False))
+    if whole:
+        return blocks.filter(some | (F.coalesce("pos", F.lit(0)) == 0)).withColumn("kind", F.when(some, F.col("kind")))
+    return blocks.filter(some)
 
 
 def ordinals(blocks: DataFrame, key: str) -> DataFrame:
@@ -90,7 +98,8 @@ def markdown_of(blocks: DataFrame, key: str) -> DataFrame:
     text = F.col("text")
     indent = F.repeat(F.lit("    "), F.least("depth", F.lit(DEEPEST)))
     part = (
-        F.when(F.col("kind") == "heading", F.concat(F.repeat(F.lit("#"), F.least("level", F.lit(6))), F.lit(" "), text))
+        F.when(F.col("kind").isNull(), F.lit(None).cast("string"))
+        .when(F.col("kind") == "heading", F.concat(F.repeat(F.lit("#"), F.least("level", F.lit(6))), F.lit(" "), text))
         .when(F.col("kind") == "bullet", F.concat(indent, F.when(F.col("ordered"), F.concat(F.col("ordinal").cast("string"), F.lit(". "))).otherwise("- "), text))
         .when(F.col("kind") == "code", F.concat(F.lit("```\n"), text, F.lit("\n```")))
         .when(F.col("kind") == "quote", F.concat(F.lit("> "), F.replace(text, F.lit("\n"), F.lit("\n> "))))

@@ -66,7 +66,8 @@ def html_of(blocks: DataFrame, key: str) -> DataFrame:
     rest = F.slice("cells", F.lit(2), F.greatest(F.size("cells") - 1, F.lit(0)))
     body = F.when(F.size(rest) > 0, F.concat(F.lit("<tbody>"), F.array_join(F.transform(rest, lambda r: row(r, "td")), ""), F.lit("</tbody>\n"))).otherwise("")
     part = (
-        F.when(kind == "heading", F.concat(F.lit("<h"), level, F.lit(">"), text, F.lit("</h"), level, F.lit(">\n")))
+        F.when(kind.isNull(), F.lit(None).cast("string"))
+        .when(kind == "heading", F.concat(F.lit("<h"), level, F.lit(">"), text, F.lit("</h"), level, F.lit(">\n")))
         .when(kind == "bullet", F.concat(opened, text, ends))
         .when(kind == "quote", F.concat(F.lit("<blockquote>\n"), around("p", text), F.lit("\n</blockquote>\n")))
         .when(kind == "code", F.concat(F.lit("<pre><code>"), escaped(F.col("source")), F.lit("\n</code></pre>\n")))

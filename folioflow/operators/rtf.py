@@ -37,7 +37,8 @@ def rtf_of(blocks: DataFrame, key: str) -> DataFrame:
     rows = F.transform("rows", lambda r: line(r"\pard\sa60 ", escaped(F.array_join(r, "\t", "")), r"\par"))
     kind = F.col("kind")
     part = (
-        F.when(kind == "heading", line(r"\pard\sa180\sb180\b\fs", size, " ", text, r"\b0\fs24\par"))
+        F.when(kind.isNull(), F.lit(None).cast("string"))
+        .when(kind == "heading", line(r"\pard\sa180\sb180\b\fs", size, " ", text, r"\b0\fs24\par"))
         .when(kind == "bullet", line(r"\pard\fi-280\li", indent, r"\sa90 ", marker, text, r"\par"))
         .when(kind == "code", line(F.array_join(lines, "\n"), "\n", r"\pard\f0\fs24"))
         .when(kind == "quote", line(r"\pard\li560\sa120\i ", text, r"\i0\par"))

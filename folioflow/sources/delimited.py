@@ -48,3 +48,8 @@ def read_delimited(docs: DataFrame, key: str, text: str, delimiter: str) -> Data
     A null text has no rows. The parser looks at one document at a time, as quotes may span all of it.
     """
     return read_each(docs, key, [text, delimiter], lambda t, d: enumerate(rows_of(t or "", d or ",")), "pos long, cells array<string>")
+
+
+def read_tables(docs: DataFrame, key: str, text: str, delimiter: str) -> DataFrame:
+    """key and rows: all rows of each document's text as one value, without a shuffle."""
+    return read_each(docs, key, [text, delimiter], lambda t, d: [(rows_of(t or "", d or ","),)], "rows array<array<string>>")
