@@ -143,7 +143,7 @@ def _titled(sheet: Callable[[Column], Column], title: Callable[[Column], Column]
 
 def _xlsx_to_csv(files: DataFrame) -> DataFrame:
     """A file for each sheet."""
-    each = _sheets(files).select("file", F.size("s").alias("n"), F.posexplode("s").alias("at", "sheet"))
+    each = _sheets(files).select("file", F.size("s").alias("n"), F.posexplode_outer("s").alias("at", "sheet"))
     many = F.when((F.col("at") == 0) & (F.col("n") > 1), F.col("n"))
     return _made(each, C.csv_text(F.col("sheet.rows")), _lost(("multi_sheet_csv", "note", many)), F.when(F.col("n") > 1, F.concat(F.lit("-"), C.slug(F.col("sheet.name")))).otherwise(""))
 
@@ -183,27 +183,20 @@ EDGES: dict[tuple[str, str], Callable[[DataFrame], DataFrame]] = {
 }
 
 
-def _step(rows: DataFrame, edges: list[tuple[str, str]], two: Column) -> DataFrame:
-    """Takes each row (file, hop, text) over the edge from file.fmt to hop; the row's file then has the format, name and losses of what was made."""
-    outs = []
-    for a, b in edges:
-        made = EDGES[a, b](rows.filter((F.col("file.fmt") == a) & (F.col("hop") == b)).select("file", "text"))
-        file, tag = F.col("file"), F.when(two, F.lit(f".{a} → .{b}")).otherwise("")
-        said = F.transform("lost", lambda x: F.struct(tag.alias("step"), x["code"].alias("code"), x["severity"].alias("severity"), x["n"].alias("n")))
-        error = F.when(F.col("error") != "", F.col("error")).when(F.col("text") == "", "empty_output").otherwise("")
-        stem = F.concat(file["stem"], F.col("suffix"))
-        new = {"fmt": F.lit(b), "stem": stem, "name": F.concat(stem, F.lit(f".{b}")), "lost": F.concat(file["lost"], said), "error": error}
-        outs.append(made.select(reduce(lambda f, x: f.withField(*x), new.items(), file).alias("file"), "text"))
-    out = outs[0]
-    for more in outs[1:]:
-        out = out.unionByName(more)
-    return out
+def _step(rows: DataFrame, a: str, b: str, tag: str) -> DataFrame:
+    """Takes rows (file, text) over an edge; a file then has the format, name and losses of what was made. Files with an error go along as they are."""
+    made, file = EDGES[a, b](rows), F.col("file")
+    said = F.transform("lost", lambda x: F.struct(F.lit(tag).alias("step"), x["code"].alias("code"), x["severity"].alias("severity"), x["n"].alias("n")))
+    error = F.when(F.col("error") != "", F.col("error")).when(F.col("text") == "", "empty_output").otherwise("")
+    stem = F.concat(file["stem"], F.col("suffix"))
+    new = {"fmt": F.lit(b), "stem": stem, "name": F.concat(stem, F.lit(f".{b}")), "lost": F.concat(file["lost"], said), "error": error}
+    return made.select(F.when(file["error"] != "", file).otherwise(reduce(lambda f, x: f.withField(*x), new.items(), file)).alias("file"), "text")
 
 
 def convert_mixed(files: DataFrame, largest: int = LARGEST) -> DataFrame:
     """id, name, fmt, text, lost and error of files (id, name, src, dst, text), each taken from its own format to the one it asks for.
 
-    Only the pairs of formats that occur, 196 at most, come to the driver; files of the same edge are converted together. A file's columns travel with
+    Only the pairs of formats that occur, 196 at most, come to the driver; the files of a pair are converted together. A file's columns travel with
     it, so that ids may repeat, and a step may make several files of one. What cannot be done is a row with an error: `empty_input`, `too_large`, `unknown_format`,
     `no_route`, `no_engine` (a route over a format that has no edge here), or what a step says (`empty_output`, `no_rows`, `not_rtf`, `no_text`, `invalid`,
     `single_value`, `empty`). lost: step (`.a → .b`, empty for a single one), code, severity and count of what was lost.
@@ -221,25 +214,18 @@ def convert_mixed(files: DataFrame, largest: int = LARGEST) -> DataFrame:
         F.when(~F.coalesce(F.col("src").isin(*known) & F.col("dst").isin(*known), F.lit(False)), "unknown_format").when(F.col("via").isNull(), "no_route").when(~can, "no_engine")
         .when(F.col("text") == "", "empty_input").when(F.octet_length("text") > largest, "too_large").otherwise("")
     )
-    file = F.struct("id", "name", C.stem(F.col("name")).alias("stem"), F.col("src").alias("fmt"), "dst", "via", F.array().cast(LOST).alias("lost"), error.alias("error"), F.monotonically_increasing_id().alias("row"))
-    rows = routed.select(file.alias("file"), first.alias("hop"), "text")
-    pairs = files.select("src", "dst").filter(F.col("src").isin(*known) & F.col("dst").isin(*known)).distinct().collect()
+    file = F.struct("id", "name", C.stem(F.col("name")).alias("stem"), F.col("src").alias("fmt"), F.array().cast(LOST).alias("lost"), error.alias("error"), F.monotonically_increasing_id().alias("row"))
+    rows = routed.select("src", "dst", file.alias("file"), "text")
+    out = rows.filter("file.error <> ''").select("file", F.lit("").alias("text"))
     vias = {(r["_src"], r["_dst"]): r["via"] for r in found.collect()}
-    stops = [[p["src"], *([vias[p["src"], p["dst"]]] if vias[p["src"], p["dst"]] else []), p["dst"]] for p in pairs if (p["src"], p["dst"]) in vias]
-    paths = [list(zip(s, s[1:])) for s in stops]
-    paths = [p for p in paths if all(e in EDGES for e in p)]
-    two = F.col("file.via") != ""
-    failed, done = rows.filter("file.error <> ''").select("file", F.lit("").alias("text")), []
-    ones = sorted({p[0] for p in paths})
-    if ones:
-        made = _step(rows.filter("file.error = ''"), ones, two)
-        twos = sorted({p[1] for p in paths if len(p) > 1})
-        done.append(made.filter((F.col("file.error") != "") | ~two) if twos else made)
-        if twos:
-            done.append(_step(made.filter((F.col("file.error") == "") & two).select("file", F.col("file.dst").alias("hop"), "text"), twos, two))
-    out = failed
-    for part in done:
-        out = out.unionByName(part)
+    for src, dst in files.select("src", "dst").filter(F.col("src").isin(*known) & F.col("dst").isin(*known)).distinct().collect():
+        stops = [x for x in (src, vias.get((src, dst)), dst) if x]
+        steps = list(zip(stops, stops[1:]))
+        if (src, dst) in vias and all(e in EDGES for e in steps):
+            made = rows.filter((F.col("src") == src) & (F.col("dst") == dst) & (F.col("file.error") == "")).select("file", "text")
+            for a, b in steps:
+                made = _step(made, a, b, f".{a} → .{b}" if len(steps) > 1 else "")
+            out = out.unionByName(made)
     return out.select("file.id", "file.name", "file.fmt", "text", "file.lost", "file.error")
 
 
