@@ -39,7 +39,7 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, scratch: Scratch, key: str
 
     Labels are chosen first, by a hash of their row and max_rows at most, so what is broadcast is bounded and no text is shuffled.
     """
-    few = sampled(labels.filter(F.col(domain).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(domain).alias("d")), max_rows).limit(max_rows)
+    few = sampled(labels.filter(F.col(domain).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(domain).alias("d")), max_rows).orderBy(F.xxhash64("k", "d"), "k", "d").limit(max_rows)
     rows = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).join(F.broadcast(few), "k")
     return sampled(scratch.park(rows), max_rows).select("t", "d")
 
@@ -146,6 +146,14 @@ def fit_rates(docs: DataFrame, weights: tuple[float, ...], tolerance: float = 1e
     return Mix(*(tuple(x.tolist()) for x in (g, totals, targets, expected)), steps, met(expected))
 
 
+def realised(docs: DataFrame, k: int) -> tuple[float, ...]:
+    """The shares of the k domains in the tokens that are drawn, from documents (n_tokens, p, copies): what came of the expected ones."""
+    drawn = F.col("n_tokens") * F.col("copies")
+    row = docs.agg(*[F.sum(drawn * F.get("p", F.lit(i))).alias(f"s{i}") for i in range(k)]).first()
+    total = sum(x or 0.0 for x in row)
+    return tuple((x or 0.0) / total if total else 0.0 for x in row)
+
+
 def copies(rate: Column, key: Column, seed: str = "mix") -> Column:
     """How often a document is used: its rate, rounded up or down by a hash of its key so that the mean is the rate."""
     return (F.floor(rate) + F.when(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 24)) < (rate - F.floor(rate)) * (1 << 24), 1).otherwise(0)).cast("int")

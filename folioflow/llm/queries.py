@@ -60,6 +60,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & quality_rules.passes(("web", 1))).alias("kept"), "fail_bits")
 
 
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each rule of the policy `web`: documents that fail it, and those that it alone keeps out."""
+    return quality_rules.ablations(quality_rules.ledger(table(spark, sf_dir, "documents").select("doc_id", "text")), ("web", 1))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -89,13 +94,17 @@ def mixed(docs: DataFrame, labels: DataFrame, domain: str, weights: dict[str, fl
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`target_met`: whether the expected tokens of the row's likeliest domain are within 0.1 % of its target."""
+    """Of the row's likeliest domain: `target_met`, whether its expected tokens are within 0.1 % of the target, and the shares of tokens that
+    are wanted, expected and drawn (after rates are rounded to copies)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rated, names, mix = mixed(docs, table(spark, sf_dir, "labels"), DOMAIN, MIX, ("doc_id",))
+    rated = rated.withColumn("copies", mixing.copies(F.col("rate"), F.col("doc_id")))
     best = F.array_max(F.transform("p", lambda x, i: F.struct(x.alias("x"), (-i).alias("i"))))["i"]
     met = [abs(e - t) <= 1e-3 * t for e, t in zip(mix.expected, mix.targets, strict=True)]
     listed = lambda xs: F.get(F.array(*map(F.lit, xs)), -best)
-    return rated.select("doc_id", "n_tokens", listed(names).alias("domain"), *[F.get("p", F.lit(i)).alias(f"p_{n}") for i, n in enumerate(names)], "rate", mixing.copies(F.col("rate"), F.col("doc_id")).alias("copies"), listed(met).alias("target_met"))
+    share = lambda xs: listed([x / (sum(xs) or 1.0) for x in xs])
+    shares = [share(mix.targets).alias("target_share"), share(mix.expected).alias("expected_share"), share(mixing.realised(rated, len(names))).alias("drawn_share")]
+    return rated.select("doc_id", "n_tokens", listed(names).alias("domain"), *[F.get("p", F.lit(i)).alias(f"p_{n}") for i, n in enumerate(names)], "rate", "copies", listed(met).alias("target_met"), *shares)
 
 
 def op10_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,7 +139,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_language_id, op2_secret_scan, op3_exact_topk, op4_token_files, op5_ngram_jaccard, op6_quality_rules, op7_line_dedup, op8_quality_score, op9_mix_sources, op10_piece_dropout, op11_conversation_trie, op12_benchmark_leaks, op13_vector_codes, pipeline)
+    named = (op1_language_id, op2_secret_scan, op3_exact_topk, op4_token_files, op5_ngram_jaccard, op6_quality_rules, op7_line_dedup, op8_quality_score, op9_mix_sources, op10_piece_dropout, op11_conversation_trie, op12_benchmark_leaks, op13_vector_codes, rule_ablations, pipeline)
     return {f.__name__: f for f in named}
 
 
@@ -224,6 +233,9 @@ SQL = {
     "op13_vector_codes": VECTOR_CODES_SQL,
 }
 
+SQL["rule_ablations"] = f"""WITH x AS ({SQL["op6_quality_rules"]}) SELECT rule, CAST(count(*) FILTER (WHERE fail_bits & bit <> 0) AS BIGINT) AS n_failed, CAST(count(*) FILTER (WHERE fail_bits = bit) AS BIGINT) AS n_only
+        FROM x, (VALUES ('few_words', 1), ('repeated_windows', 2), ('symbols', 4), ('repeated_lines', 8), ('short_words', 16), ('long_words', 32)) r(rule, bit) GROUP BY rule"""
+
 
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline

@@ -219,7 +219,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = Non
     folder = folder or shared_dir(docs.sparkSession)
     # the row's number deals rows of one key to several files if need be
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").alias("t"), F.monotonically_increasing_id().alias("row"))
-    dealt = rows.repartitionByRange(files or max(1, rows.rdd.getNumPartitions()), "k", "row").sortWithinPartitions("k").select("k", "t")
+    dealt = rows.repartitionByRange(files or max(1, rows.rdd.getNumPartitions()), "k", "row").sortWithinPartitions("k", "row").select("k", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

@@ -29,21 +29,30 @@ def coded(texts: pa.Array, separator: str | None = None, lower: bool = False) ->
 
 
 class Memo:
-    """Values of words that a worker has met, in bounded memory: of `limit` words and of those met since, the older ones go first."""
+    """Values of words that a worker has met, in bounded memory: of `limit` words or `most` bytes and of those met since, the older ones go first.
 
-    def __init__(self, make: Callable[[list[str]], list[bytes]], limit: int = 500_000):
-        self.make, self.limit, self.known, self.older = make, limit, {}, {}
+    A word longer than `longest` is made anew each time.
+    """
+
+    def __init__(self, make: Callable[[list[str]], list[bytes]], limit: int = 500_000, most: int = 48 << 20, longest: int = 4096):
+        self.make, self.limit, self.most, self.longest = make, limit, most, longest
+        self.known, self.older, self.bytes = {}, {}, 0
 
     def __call__(self, words: list[str]) -> list[bytes]:
-        if len(self.known) > self.limit:
-            self.known, self.older = {}, self.known
+        if len(self.known) > self.limit or self.bytes > self.most:
+            self.known, self.older, self.bytes = {}, self.known, 0
         known, older = self.known, self.older
         missing = [w for w in words if w not in known]
         if missing:
             again = {w: older[w] for w in missing if w in older}
-            known.update(again)
             fresh = [w for w in missing if w not in again] if again else missing
-            known.update(zip(fresh, self.make(fresh), strict=True))
+            made = dict(zip(fresh, self.make(fresh), strict=True))
+            long = {w: v for w, v in made.items() if len(w) > self.longest}
+            kept = again | {w: v for w, v in made.items() if w not in long}
+            known.update(kept)
+            self.bytes += sum(len(w) + len(v) for w, v in kept.items())
+            if long:
+                return [long[w] if w in long else known[w] for w in words]
         return [known[w] for w in words]
 
 

@@ -169,3 +169,17 @@ def test_pipeline_of_empty_tables(spark, tmp_path):
     spark.createDataFrame([], TYPES).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert P.run(spark, str(tmp_path)).collect() == []
+
+
+def test_rows_that_share_a_hash_are_told_apart(spark, monkeypatch):
+    rows = full([(i, prose(i)) for i in range(6)] + [(0, prose(0))])
+    real = P.F.xxhash64
+
+    def clashing(*columns):  # the first hash of every row is the same
+        return P.F.lit(7).cast("long") if len(columns) > 2 and "row" in str(columns[0]) else real(*columns)
+
+    with monkeypatch.context() as m:
+        m.setattr(P.F, "xxhash64", clashing)
+        frame = P.numbered(spark.createDataFrame(rows, TYPES).repartition(2))
+    got = frame.select("row", "doc_id").collect()
+    assert len(got) == 7 and len({r.row for r in got}) == 6 and len({r.row for r in got if r.doc_id == 0}) == 1

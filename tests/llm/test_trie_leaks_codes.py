@@ -199,3 +199,22 @@ def test_vector_codes_of_few_vectors_and_none(spark):
 def test_registered_queries_have_their_sql():
     for name in ("op11_conversation_trie", "op12_benchmark_leaks", "op13_vector_codes"):
         assert name in Q.queries() and name in Q.SQL
+
+
+def test_memo_is_bounded_by_bytes_and_makes_long_words_anew():
+    from folioflow.llm.words import Memo
+
+    made = []
+    memo = Memo(lambda ws: made.extend(ws) or [w.encode() for w in ws], most=40, longest=20)
+    assert memo(["a" * 15, "b" * 15, "c" * 30]) == [b"a" * 15, b"b" * 15, b"c" * 30]
+    assert memo(["a" * 15, "c" * 30]) == [b"a" * 15, b"c" * 30] and made.count("a" * 15) == 1 and made.count("c" * 30) == 2
+    memo(["d"])
+    memo(["e" * 20, "f" * 20]), memo(["g"]), memo(["a" * 15])
+    assert len(memo.known) <= 2
+
+
+def test_shares_that_are_drawn(spark):
+    from folioflow.llm import mixing
+
+    docs = spark.createDataFrame([(10, [0.5, 0.5], 2), (20, [1.0, 0.0], 0), (30, [0.0, 1.0], 1), (5, [1.0, 0.0], None)], "n_tokens long, p array<double>, copies int")
+    assert mixing.realised(docs, 2) == (10 / 50, 40 / 50) and mixing.realised(docs.limit(0), 2) == (0.0, 0.0)
