@@ -18,7 +18,7 @@ empty tables give no rows; columns beside those of documents are left out by the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.llm import jaccard, line_dedup, mixing, pieces, quality_rules
@@ -39,14 +39,26 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return line_dedup.dedup_lines(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The documents with `row`, a number of 64 bits that only equal rows share.
+
+    It is a hash of the row. Where two different rows have the same, which a second hash tells, both hashes make another; of n rows about
+    n * n / 2^65 pairs do, so what is broadcast to tell them are a few numbers even for 10^11 rows.
+    """
+    hash_of = lambda seed: F.xxhash64(F.lit(seed), *COLUMNS, *[F.isnull(c) for c in COLUMNS])
+    rows = docs.select(hash_of("row").alias("row"), hash_of("again").alias("second"), *COLUMNS)
+    clash = park(rows.groupBy("row").agg(F.min("second").alias("low"), F.max("second").alias("high")).filter("low <> high").select("row", F.lit(True).alias("shared")))
+    number = F.when(F.col("shared"), F.xxhash64("row", "second")).otherwise(F.col("row"))
+    return rows.join(F.broadcast(clash), "row", "left").select(number.alias("row"), *COLUMNS)
+
+
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = docs.select(F.xxhash64(*COLUMNS, *[F.isnull(c) for c in COLUMNS]).alias("row"), *COLUMNS)
+    rows = numbered(docs)
     linked = jaccard.link(rows.select("row", "text"), key="row", n=5, num=8, den=10)
     classes = linked.select(F.col("doc_id").alias("row"), "component_id").distinct()
     first = F.min(F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "row"))["row"]
     stays = rows.select("row", "doc_id").join(classes, "row").groupBy("component_id").agg(first.alias("row")).select("row")
-    one = F.row_number().over(Window.partitionBy("row").orderBy("row"))
-    return rows.join(stays, "row", "left_semi").withColumn("one", one).filter("one = 1").select(*COLUMNS)
+    return rows.join(stays, "row", "left_semi").dropDuplicates(["row"]).select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
