@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators import coverage as K
 from .operators import html as H
+from .operators import links as L
 from .sources import table
 from .sources.markdown import read_markdown
 
@@ -44,6 +46,36 @@ def md_html(s: SparkSession, d: str) -> DataFrame:
     return made.select("doc", H.page_of(F.concat(F.lit("conversation "), F.col("doc").cast("string")), F.col("html")).alias("html"))
 
 
+#: Code points that a plain face draws, for the query below: ASCII and some small letters with accents.
+COVERED = ((0x00, 0x7F), (0xE0, 0xEF))
+
+
+def undrawn_characters(s: SparkSession, d: str) -> DataFrame:
+    """Characters of documents outside a table of ranges, and the scripts that they are from."""
+    covered = s.createDataFrame(list(COVERED), "low int, high int")
+    found = K.undrawn(table(s, d, "documents").select("doc_id", "text"), "doc_id", "text", covered)
+    return found.select("doc_id", "n", F.array_join("scripts", "|").alias("scripts"))
+
+
+def resolved_links(s: SparkSession, d: str) -> DataFrame:
+    """The links of pages that stay on their site, as paths."""
+    pages = table(s, d, "pages").select("page_id", F.regexp_extract("url", r"^[a-z]+://[^/]*/([^?#]*)", 1).alias("base"), F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("pos", "href"))
+    some = pages.withColumn("href", F.regexp_replace("href", r"^[a-z]+://[^/]*/", "../"))
+    return some.select("page_id", F.col("pos").cast("long").alias("pos"), L.resolved(F.col("base"), F.col("href")).alias("path"))
+
+
+def _undrawn_sql() -> str:
+    rows = lambda xs: ", ".join(f"({', '.join(repr(v) for v in x)})" for x in xs)
+    return f"""WITH covered(low, high) AS (VALUES {rows(COVERED)}), scripts(low, high, script) AS (VALUES {rows(K.SCRIPTS)}),
+        c AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), '')) AS c FROM documents), p AS (SELECT doc_id, c, unicode(c) AS p FROM c WHERE c <> ''),
+        b AS (SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM covered v WHERE p.p BETWEEN v.low AND v.high))
+        SELECT doc_id, CAST(count(*) AS BIGINT) AS n, string_agg(DISTINCT coalesce(s.script, '{K.OTHER}'), '|' ORDER BY coalesce(s.script, '{K.OTHER}')) AS scripts FROM b LEFT JOIN scripts s ON b.p BETWEEN s.low AND s.high GROUP BY doc_id"""
+
+
+_LINKS_SQL = r"""WITH l AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]*/([^?#]*)', 1) AS base, regexp_extract_all(html, 'href="([^"]*)"', 1) AS h FROM pages),
+    e AS (SELECT page_id, base, i - 1 AS pos, regexp_replace(h[i], '^[a-z]+://[^/]*/', '../') AS href FROM (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM l)),
+    p AS (SELECT page_id, pos, list_filter(string_split(CASE WHEN strpos(base, '/') > 0 THEN regexp_extract(base, '^(.*/)', 1) ELSE '' END || url_decode(replace(regexp_extract(href, '^([^#]*)', 1), '+', '%2B')), '/'), lambda x: x <> '' AND x <> '.') AS parts FROM e)
+    SELECT page_id, pos, ltrim(coalesce(list_reduce(list_prepend('', parts), lambda a, x: CASE WHEN x = '..' THEN regexp_replace(a, '/[^/]*$', '') ELSE a || '/' || x END), ''), '/') AS path FROM p"""
 _ESSAYS = f"""turns AS (SELECT conv_id AS doc, turn, {_clean_sql('role')} AS role, list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {_clean_sql('x')}) AS l FROM conversations),
     line AS (SELECT doc, turn, len(l) AS n, i, l[i + 1] AS x FROM (SELECT *, unnest(range(0, len(l))) AS i FROM turns))"""
 _inline = "CASE i % 4 WHEN 1 THEN '<strong>' || x || '</strong>' WHEN 3 THEN '<code>' || x || '</code>' ELSE x END"
@@ -66,7 +98,7 @@ _HTML_SQL = f"""WITH {_ESSAYS}, items AS (
         || '<blockquote>' || chr(10) || '<p>' || l[1] || chr(10) || role || '</p>' || chr(10) || '</blockquote>' || chr(10) || '<hr>' || chr(10) AS h FROM turns t JOIN items i ON i.doc = t.doc AND i.turn = t.turn)
     SELECT doc, replace('<!doctype html>~<html lang="en">~<head>~<meta charset="utf-8">~<meta name="viewport" content="width=device-width, initial-scale=1">~<title>conversation ', '~', chr(10)) || doc || replace('</title>~</head>~<body>~', '~', chr(10))
         || rtrim(string_agg(h, '' ORDER BY turn), chr(10)) || replace('~</body>~</html>~', '~', chr(10)) AS html FROM whole GROUP BY doc"""
-SQL = {"md_blocks": _BLOCKS_SQL, "md_html": _HTML_SQL}
+SQL = {"md_blocks": _BLOCKS_SQL, "md_html": _HTML_SQL, "undrawn_characters": _undrawn_sql(), "resolved_links": _LINKS_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

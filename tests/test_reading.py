@@ -168,3 +168,23 @@ def test_sheets_as_indented_json(spark, sheets, want):
 
     df = spark.createDataFrame([(sheets,)], "s array<struct<name:string,rows:array<array<string>>>>")
     assert df.select(C.sheets_json(C.F.col("s"))).first()[0] == want
+
+
+def test_references_are_resolved_and_books_read_in_order(spark):
+    from folioflow.operators.links import reading_order, resolved
+    from pyspark.sql import functions as F
+
+    cases = [("OEBPS/content.opf", "text/a%20b.xhtml#x", "OEBPS/text/a b.xhtml"), ("a/b/c", "../../../x", "x"), ("c", "./d//e", "d/e"), ("a/c", "", "a"), (None, "x+y%2", "x+y%2"), ("a/", None, "a")]
+    got = spark.createDataFrame([(b, h) for b, h, _ in cases], "b string, h string").select(resolved(F.col("b"), F.col("h"))).collect()
+    assert [r[0] for r in got] == [x for _, _, x in cases]
+    manifest = spark.createDataFrame([(1, 0, "a", "a.x", "application/xhtml+xml"), (1, 1, "b", "b.x", "application/xhtml+xml"), (1, 2, "i", "i.png", "image/png"), (1, 3, "a", "a2.x", "application/xhtml+xml"), (2, 0, "q", "q.x", "application/xhtml+xml"), (2, 1, "r", "r.x", "application/xhtml+xml")], "book long, at long, id string, href string, type string")
+    spine = spark.createDataFrame([(1, 0, "b"), (1, 1, "i"), (1, 2, "a"), (1, 3, "none"), (2, 0, "lost")], "book long, at long, idref string")
+    assert sorted(map(tuple, reading_order(manifest, spine, "book").collect())) == [(1, 0, "b.x"), (1, 1, "a2.x"), (2, 0, "q.x"), (2, 1, "r.x")]
+
+
+def test_undrawn_characters_by_ranges(spark):
+    from folioflow.operators.coverage import undrawn
+
+    covered = spark.createDataFrame([(0, 0x7F), (0x70, 0x2FF)], "low int, high int")
+    docs = spark.createDataFrame([(1, "aé שלום 日本 😀😀 ←"), (2, "plain é"), (3, None), (4, "")], "k long, t string")
+    assert [tuple(r) for r in undrawn(docs, "k", "t", covered).collect()] == [(1, 9, ["Chinese or Japanese", "Hebrew", "emoji", "some rarer letters"])]
