@@ -4,12 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from folioflow.functions.cells import extension
 
 
 def new_files(spark: SparkSession, folder: str, glob: str = "*", largest: int = 100 << 20) -> DataFrame:
-    """A stream of files as they arrive: path, fmt, status and content; empty and too large ones are refused, not failed."""
-    files = spark.readStream.format("binaryFile").option("pathGlobFilter", glob).load(folder)
+    """A stream of files as they arrive: path, fmt, length, status and content; too large ones are refused, not failed.
+
+    Spark's file stream never gives out empty files, so these have no row; a batch read that does give them out has the status `empty` here too.
+    """
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", glob).load(folder)
     status = F.when(F.col("length") == 0, "empty").when(F.col("length") > largest, "too_large").otherwise("ok")
     return files.select("path", extension(F.regexp_extract("path", r"([^/]*)\z", 1)).alias("fmt"), "length", status.alias("status"), "content")
+
+
+def ingest(files: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Writes what has arrived since the last call with this checkpoint, each file once, those refused apart from the others (by `status`).
+
+    Ends when all files that are there are written; a call after a failure goes on where the last one stopped.
+    """
+    return files.writeStream.format("parquet").partitionBy("status").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out)

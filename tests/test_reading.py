@@ -188,3 +188,17 @@ def test_undrawn_characters_by_ranges(spark):
     covered = spark.createDataFrame([(0, 0x7F), (0x70, 0x2FF)], "low int, high int")
     docs = spark.createDataFrame([(1, "aé שלום 日本 😀😀 ←"), (2, "plain é"), (3, None), (4, "")], "k long, t string")
     assert [tuple(r) for r in undrawn(docs, "k", "t", covered).collect()] == [(1, 9, ["Chinese or Japanese", "Hebrew", "emoji", "some rarer letters"])]
+
+
+def test_files_that_arrive_are_ingested_once_over_restarts(spark, tmp_path):
+    from folioflow.streaming import ingest, new_files
+
+    folder, out = tmp_path / "in", tmp_path / "out"
+    folder.mkdir()
+    arrivals = [{"a.html": b"<p>x</p>", "b.TXT": b"plain"}, {"empty.md": b"", "large.csv": b"x" * 300, "no-extension": b"y"}, {}]
+    for arrived in arrivals:
+        for name, content in arrived.items():
+            (folder / name).write_bytes(content)
+        ingest(new_files(spark, str(folder), largest=200), str(out), str(tmp_path / "log")).awaitTermination(120)
+    got = sorted((r.path.rsplit("/", 1)[1], r.fmt, r.status, r.length, bytes(r.content)) for r in spark.read.parquet(str(out)).collect())
+    assert got == [("a.html", "html", "ok", 8, b"<p>x</p>"), ("b.TXT", "txt", "ok", 5, b"plain"), ("large.csv", "csv", "too_large", 300, b"x" * 300), ("no-extension", "", "ok", 1, b"y")]
