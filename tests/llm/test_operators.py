@@ -312,7 +312,7 @@ def test_lines_stay_in_the_largest_document(odd):
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_queries_equal_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got, want = queries.queries()[name](spark, SF).toPandas(), con.sql(queries.SQL[name]).df()
     cols = sorted(got.columns)
