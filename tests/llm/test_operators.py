@@ -314,9 +314,10 @@ def test_queries_equal_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "embeddings", "conversations", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    got, want = queries.queries()[name](spark, SF).toPandas(), con.sql(queries.SQL[name]).df()
-    cols = sorted(got.columns)
-    assert sorted(map(str, got[cols].astype(object).values.tolist())) == sorted(map(str, want[cols].astype(object).values.tolist()))
+    got, want = queries.queries()[name](spark, SF), con.execute(queries.SQL[name])
+    cols, names = sorted(got.columns), [x[0] for x in want.description]
+    assert sorted(names) == cols
+    assert sorted(str([r[c] for c in cols]) for r in got.collect()) == sorted(str([r[names.index(c)] for c in cols]) for r in want.fetchall())
 
 
 def nearest_rates(t, p, targets):
