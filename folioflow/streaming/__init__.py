@@ -12,10 +12,10 @@ from folioflow.functions.cells import extension
 def new_files(spark: SparkSession, folder: str, glob: str = "*", largest: int = 100 << 20) -> DataFrame:
     """A stream of files as they arrive: path, fmt, length, status and content; too large ones are refused, not failed.
 
-    Spark's file stream never gives out empty files, so these have no row; a batch read that does give them out has the status `empty` here too.
+    Spark's file stream never gives out empty files, so these have no row.
     """
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", glob).load(folder)
-    status = F.when(F.col("length") == 0, "empty").when(F.col("length") > largest, "too_large").otherwise("ok")
+    status = F.when(F.col("length") > largest, "too_large").otherwise("ok")
     return files.select("path", extension(F.regexp_extract("path", r"([^/]*)\z", 1)).alias("fmt"), "length", status.alias("status"), "content")
 
 
