@@ -25,13 +25,17 @@ def heading_levels(lines: DataFrame, keys: list[str], order: str, size: str, dee
     """
     rounded = lines.withColumn("q", F.floor(F.col(size) * 4 + 0.5) / 4)
     counts = rounded.groupBy(*keys, "q").agg(F.count("*").alias("n"))
+    return rounded.join(size_levels(counts, keys, deepest), [*keys, "q"]).select(*keys, order, *keep, "body", "level")
+
+
+def size_levels(counts: DataFrame, keys: list[str], deepest: int = 6) -> DataFrame:
+    """keys, q, body and level of each size q that a document has n times: the rank of what is larger than the body's, 0 for the rest."""
     up = Window.partitionBy(*keys).orderBy("q").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     half = F.floor(F.sum("n").over(Window.partitionBy(*keys)) / 2)
     body = F.min(F.when(F.col("upto") > F.col("half"), F.col("q"))).over(Window.partitionBy(*keys))
     sized = counts.withColumns({"upto": F.sum("n").over(up), "half": half}).withColumn("body", body)
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("q")))
-    levels = sized.withColumn("level", F.when(F.col("q") > F.col("body"), F.least(rank, F.lit(deepest))).otherwise(0)).select(*keys, "q", "body", "level")
-    return rounded.join(levels, [*keys, "q"]).select(*keys, order, *keep, "body", "level")
+    return sized.withColumn("level", F.when(F.col("q") > F.col("body"), F.least(rank, F.lit(deepest))).otherwise(0)).select(*keys, "q", "body", "level")
 
 
 def unique_names(files: DataFrame, name: str, order: str, share: int = 10_000) -> DataFrame:
