@@ -47,10 +47,38 @@ def freed_shuffles(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(FREE_SHUFFLES, before)
 
 
+def _at(spark: SparkSession, path: str) -> tuple:
+    """A path and the store that Spark keeps it in."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Deletes a folder of our own in whatever store Spark keeps it."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    at, store = _at(spark, path)
+    store.delete(at, True)
+
+
+def entries(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder; none if it is not there."""
+    at, store = _at(spark, path)
+    return [f.getPath().getName() for f in store.listStatus(at)] if store.exists(at) else []
+
+
+def write_small(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file that appears whole or not at all, and fails if there is one of that name."""
+    at, store = _at(spark, path)
+    made, _ = _at(spark, f"{path}.{uuid.uuid4().hex}")
+    out = store.create(made)
+    out.write(text.encode())
+    out.close()
+    if store.exists(at) or not store.rename(made, at):
+        store.delete(made, False)
+        raise FileExistsError(path)
+
+
+def read_small(spark: SparkSession, path: str) -> str:
+    return spark.read.text(path, wholetext=True).first()[0]
 
 
 class Scratch:

@@ -4,7 +4,7 @@ A batch holds one row for each line key: its 128-bit hash, in how many documents
 merge-anti-joined with the runs, and a run of two parts comes of it: the keys that no run held, and updates, the batch's counts of
 keys that were known. So each key is in one run alone, and what later batches say of it are updates; both parts are tables bucketed
 and sorted by the hash, so that the joins need no shuffle. Once a level has `fan_out` runs they are compacted into one run of the
-next level, so a key is rewritten only as often as there are levels.
+next level, so a key is rewritten only as often as there are levels. `LineRuns.open` goes on with the runs of an earlier session.
 
 Dropping works the same at every size: keys found in enough documents are joined with the documents' lines, the matching places
 gathered by document, and the texts filtered. Keys that hold more than a share of all such lines are few by that very bound; they are
@@ -18,13 +18,14 @@ table gives no rows; columns named n_lines or n_dropped are replaced, others pas
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, delete, freed_shuffles, shared_dir
+from .common import Scratch, delete, entries, freed_shuffles, read_small, shared_dir, write_small
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 EDGES = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z"
@@ -43,12 +44,38 @@ def keyed_lines(rows: DataFrame, min_chars: int) -> DataFrame:
 
 
 class LineRuns:
-    """The runs of one corpus, as bucketed tables below `folder`; a run is the names of its keys and its updates."""
+    """The runs of one corpus, as bucketed tables below `folder`; a run is the names of its keys and its updates.
+
+    What the runs are is written there too, a new file for each change, which takes effect when the file gets its name. So another session
+    opens them and goes on, and one that fails halfway leaves the runs as they were. One writer at a time: of two, the second fails.
+    """
 
     def __init__(self, spark: SparkSession, folder: str | None = None, buckets: int | None = None, fan_out: int = 4):
         self.spark, self.folder, self.fan_out = spark, folder or shared_dir(spark), fan_out
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[tuple[str, str]]] = [[]]
+        self.batches: list[str] = []
+        self.version = 0
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> LineRuns:
+        """The runs that are kept in folder; tables of changes that never took effect are deleted. Without any it begins new ones."""
+        versions = [int(n) for n in entries(spark, f"{folder}/state") if n.isdigit()]
+        if not versions:
+            return cls(spark, folder)
+        state = json.loads(read_small(spark, f"{folder}/state/{max(versions)}"))
+        runs = cls(spark, folder, state["buckets"], state["fan_out"])
+        runs.levels, runs.batches, runs.version = [[tuple(run) for run in level] for level in state["levels"]], state["batches"], max(versions)
+        known = {name for run in runs._runs() for name in run}
+        for name in known:
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (h1 BIGINT, h2 BIGINT, n_docs BIGINT, max_doc BIGINT) USING parquet CLUSTERED BY (h1, h2) SORTED BY (h1, h2) INTO {runs.buckets} BUCKETS LOCATION '{folder}/{name}'")
+        runs._forget(n for n in entries(spark, folder) if n.startswith("line_run_") and n not in known)
+        return runs
+
+    def _commit(self) -> None:
+        state = {"buckets": self.buckets, "fan_out": self.fan_out, "levels": self.levels, "batches": self.batches}
+        write_small(self.spark, f"{self.folder}/state/{self.version + 1}", json.dumps(state))
+        self.version += 1
 
     def _write(self, counts: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
@@ -59,13 +86,14 @@ class LineRuns:
 
     def _forget(self, names: Iterable[str]) -> None:
         for name in set(names):
-            self.spark.sql(f"DROP TABLE {name}")
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
             delete(self.spark, f"{self.folder}/{name}")
 
     def close(self) -> None:
-        """Deletes all runs."""
+        """Deletes all runs and their folder."""
         self._forget(name for run in self._runs() for name in run)
-        self.levels = [[]]
+        delete(self.spark, self.folder)
+        self.levels, self.batches, self.version = [[]], [], 0
 
     def _runs(self) -> list[tuple[str, str]]:
         return [run for level in self.levels for run in level]
@@ -79,12 +107,16 @@ class LineRuns:
             counts = self._without(counts, keys)
         return counts
 
-    def add(self, lines: DataFrame) -> None:
-        """Adds a batch (doc_id, h1, h2), whose documents no other batch has."""
+    def add(self, lines: DataFrame, batch_id: str | None = None) -> None:
+        """Adds a batch (doc_id, h1, h2), whose documents no other batch has; one whose batch_id is there already changes nothing."""
+        if batch_id is not None and batch_id in self.batches:
+            return
         once = lines.select("h1", "h2", "doc_id").distinct()
         batch = self._write(once.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc")))
         keys = self._write(self.new_keys(self.spark.table(batch))) if self._runs() else batch
         self.levels[0].append((keys, self._write(self._without(self.spark.table(batch), keys))))
+        self.batches += [batch_id] if batch_id is not None else []
+        self._commit()
         self._forget({batch} - {keys})
         self._compact()
 
@@ -96,6 +128,7 @@ class LineRuns:
                 keys, updates = zip(*level, strict=True)
                 self.levels[i + 1].append((self._write(self._every(keys)), self._write(self._merged(updates))))
                 self.levels[i] = []
+                self._commit()
                 self._forget(keys + updates)
 
     def _every(self, names: Sequence[str]) -> DataFrame:
@@ -138,10 +171,12 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_ch
     batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")
     lines = scratch.park(keyed_lines(docs.select(*row, doc_id.alias("doc_id"), full.alias("text")), min_chars).withColumn("batch", batch), "batch")
     runs = LineRuns(docs.sparkSession)
-    for i in range(batches):
-        runs.add(lines.filter(F.col("batch") == i))
-    common = scratch.park(runs.counts().filter(F.col("n_docs") >= min_docs))
-    runs.close()
+    try:
+        for i in range(batches):
+            runs.add(lines.filter(F.col("batch") == i))
+        common = scratch.park(runs.counts().filter(F.col("n_docs") >= min_docs))
+    finally:
+        runs.close()
     gone = scratch.park(places(lines.drop("batch"), common))
     scratch.keep(gone)
     # the input's columns travel as one struct, so that no name of theirs meets one of ours
