@@ -21,6 +21,18 @@ EDGES = (
     ("csv", "xlsx", "exact", 310, 5.95), ("csv", "md", "good", 45, 1.46), ("csv", "txt", "exact", 5, 1.0), ("json", "xlsx", "good", 145, 2.18), ("pptx", "txt", "lossy", 5, 0.03),
     ("pptx", "md", "lossy", 5, 0.03), ("odp", "txt", "lossy", 5, 0.12), ("odp", "md", "lossy", 10, 0.13), ("md", "pptx", "good", 320, 31.13), ("md", "odp", "good", 105, 0.04),
 )
+# What is said of an edge before it is taken, as codes; edges without one carry everything over.
+CAVEATS = (
+    ("docx", "md", "structure_and_links_kept"), ("docx", "txt", "words_and_breaks_kept"), ("docx", "pdf", "pages_laid_out_again"), ("docx", "rtf", "headings_emphasis_lists_kept"),
+    ("odt", "md", "structure_and_tables_kept"), ("md", "odt", "blocks_as_opendocument_styles"), ("html", "md", "styling_scripts_images_dropped"), ("md", "html", "standalone_without_stylesheet"),
+    ("epub", "md", "chapters_joined"), ("md", "epub", "heading_starts_chapter"), ("md", "docx", "blocks_as_word_styles"), ("md", "pdf", "own_typography"), ("md", "rtf", "tables_as_tabbed_lines"),
+    ("txt", "docx", "blocks_as_default_paragraphs"), ("txt", "pdf", "single_typeface"), ("rtf", "txt", "words_and_breaks_kept"), ("rtf", "md", "headings_by_font_size"), ("pdf", "txt", "text_layer_only"),
+    ("pdf", "md", "headings_and_paragraphs_inferred"), ("xlsx", "ods", "values_and_names_kept"), ("xlsx", "json", "records_by_first_row"), ("xlsx", "md", "pipe_table_a_sheet"),
+    ("xlsx", "txt", "tabbed_block_a_sheet"), ("xlsx", "pdf", "wide_sheets_clipped"), ("xlsx", "docx", "values_as_word_tables"), ("ods", "xlsx", "values_and_names_kept"), ("ods", "md", "pipe_table_a_sheet"),
+    ("ods", "txt", "tabbed_block_a_sheet"), ("ods", "pdf", "wide_sheets_clipped"), ("ods", "docx", "values_as_word_tables"), ("csv", "md", "first_row_as_header"), ("json", "xlsx", "nested_keys_flattened"),
+    ("pptx", "txt", "slide_text_only"), ("pptx", "md", "heading_a_slide"), ("odp", "txt", "slide_text_only"), ("odp", "md", "heading_a_slide"), ("md", "pptx", "heading_starts_slide"),
+    ("md", "odp", "heading_starts_plain_slide"),
+)
 # Other names of formats in file extensions.
 ALIASES = (
     ("markdown", "md"), ("mdown", "md"), ("mkd", "md"), ("text", "txt"), ("tsv", "csv"), ("htm", "html"), ("xhtml", "html"), ("fodt", "odt"),
@@ -47,7 +59,7 @@ def values(name: str, columns: str, rows: list[tuple]) -> str:
 
 
 def relations() -> str:
-    """formats, edges and refusals as common table expressions."""
+    """formats, edges, caveats and refusals as common table expressions."""
     order = {f: i for i, (f, _) in enumerate(FORMATS)}
     pairs: dict[tuple[str, str], str] = {}
     for rule, sources, targets in REFUSALS:
@@ -58,5 +70,6 @@ def relations() -> str:
     return ", ".join([
         values("formats", "f, ord, family, hub", [(f, order[f], family, int(f in HUBS)) for f, family in FORMATS]),
         values("edges", "src, dst, rank, peak, growth", [(a, b, FIDELITY.index(c), p, g) for a, b, c, p, g in EDGES]),
+        values("caveats", "src, dst, code", list(CAVEATS)),
         values("refused", "src, dst, rule", [(a, b, rule) for (a, b), rule in pairs.items()]),
     ])

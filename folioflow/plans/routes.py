@@ -22,8 +22,18 @@ ROUTES = """
     routes AS (SELECT f.* FROM found f LEFT JOIN refused r ON r.src = f.src AND r.dst = f.dst WHERE r.src IS NULL)"""
 
 
+#: What is said of a route: first that it has two steps, then what is said of each step, everything once, where it is said first.
+SAID = """
+    SELECT src, dst, code, min(place) AS place FROM (
+        SELECT src, dst, 'two_steps' AS code, 0 AS place FROM routes WHERE via <> ''
+        UNION ALL
+        SELECT r.src, r.dst, c.code, 1 FROM routes r JOIN caveats c ON c.src = r.src AND c.dst = CASE WHEN r.via = '' THEN r.dst ELSE r.via END
+        UNION ALL
+        SELECT r.src, r.dst, c.code, 2 FROM routes r JOIN caveats c ON c.src = r.via AND c.dst = r.dst) GROUP BY src, dst, code"""
+
+
 def planner(query: str) -> str:
-    """SQL of `query` over the relations formats, edges, refused and routes."""
+    """SQL of `query` over the relations formats, edges, caveats, refused and routes."""
     return f"WITH {relations()}, {ROUTES} {query}"
 
 
@@ -32,6 +42,11 @@ def routes(spark: SparkSession) -> DataFrame:
     return spark.sql(planner("SELECT src, dst, via, rank, peak FROM routes"))
 
 
+def caveats(spark: SparkSession) -> DataFrame:
+    """src, dst, code and place (0 of the route, 1 and 2 of its steps): what is said of each route before it is taken."""
+    return spark.sql(planner(SAID))
+
+
 def targets(sizes: DataFrame, spark: SparkSession) -> DataFrame:
     """For documents (fmt, bytes): each target they can reach, how, how many, and the memory that the largest would take.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import operators as O
-from . import jobs, paged, reading, routed
+from . import decks, jobs, paged, reading, routed
 from .operators import blocks as B
 from .functions import cells as C
 from .functions import detect as D
@@ -425,7 +425,7 @@ def readable_sizes(s: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {n: f for n, f in globals().items() if n in SQL} | jobs.queries() | paged.queries() | reading.queries() | routed.queries()
+    return {n: f for n, f in globals().items() if n in SQL} | decks.queries() | jobs.queries() | paged.queries() | reading.queries() | routed.queries()
 
 
 _notes = lambda q: f"WITH {NOTES} {q}"
@@ -517,4 +517,4 @@ SQL = {
     "turn_tables": "SELECT conv_id, '| role | text |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || replace(replace(coalesce(role, ''), '|', '\\|'), chr(10), ' ') || ' | ' || replace(replace(coalesce(text, ''), '|', '\\|'), chr(10), ' ') || ' |', chr(10) ORDER BY turn) AS \"table\" FROM conversations GROUP BY conv_id",
     "readable_sizes": "SELECT coalesce(source, '') AS source, CAST(coalesce(sum(strlen(text)), 0) AS BIGINT) AS bytes, CASE WHEN coalesce(sum(strlen(text)), 0) >= 1073741824 THEN printf('%.1f GB', sum(strlen(text)) / 1073741824.0) ELSE CAST(CAST(floor(coalesce(sum(strlen(text)), 0) / 1048576.0 + 0.5) AS BIGINT) AS VARCHAR) || ' MB' END AS size FROM documents GROUP BY 1",
 }
-SQL |= jobs.SQL | paged.SQL | reading.SQL | routed.sql(SQL, LOSS_SQL)
+SQL |= decks.sql(SQL["all_routes"]) | jobs.SQL | paged.SQL | reading.SQL | routed.sql(SQL, LOSS_SQL)

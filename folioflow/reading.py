@@ -22,15 +22,15 @@ def _joined(key: str, value: Column, glue: str) -> Column:
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, value.alias("v")))), lambda x: x["v"]), glue)
 
 
-def essays(s: SparkSession, d: str) -> DataFrame:
-    """doc and md: conversations as Markdown. A turn is a heading, a list three deep of its lines, a fence, a table, a quote and a rule."""
+def essays(s: SparkSession, d: str, mark: Column | None = None) -> DataFrame:
+    """doc and md: conversations as Markdown. A turn is a heading (by its mark), a list three deep of its lines, a fence, a table, a quote and a rule."""
     turns = table(s, d, "conversations").select("conv_id", "turn", _clean(F.col("role")).alias("role"), F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), _clean).alias("l"))
     pick = lambda i, n, *of: F.get(F.array(*map(F.lit, of)), (i % n).cast("int"))
     marked = lambda x, i: F.concat(pick(i, 4, "", "**", "", "`"), x, pick(i, 4, "", "**", "", "`"))
     items = F.array_join(F.transform("l", lambda x, i: F.concat(pick(i, 3, "- ", "  1. ", "     * "), marked(x, i))), "\n")
     first = F.get("l", F.lit(0))
     rows = F.array_join(F.transform(F.slice("l", 1, 3), lambda x, i: F.concat(F.lit("| "), i.cast("string"), F.lit(" | "), x, F.lit(" |"))), "\n")
-    md = F.concat(F.lit("## "), F.col("role"), F.lit("\n\n"), items, F.lit("\n\n```\n# "), first, F.lit("\n- "), first, F.lit("\n```\n\n| n | line |\n|---|:-:|\n"), rows, F.lit("\n\n> "), first, F.lit("\n> "), F.col("role"), F.lit("\n\n***\n"))
+    md = F.concat(F.lit("## ") if mark is None else mark, F.col("role"), F.lit("\n\n"), items, F.lit("\n\n```\n# "), first, F.lit("\n- "), first, F.lit("\n```\n\n| n | line |\n|---|:-:|\n"), rows, F.lit("\n\n> "), first, F.lit("\n> "), F.col("role"), F.lit("\n\n***\n"))
     return turns.groupBy(F.col("conv_id").alias("doc")).agg(_joined("turn", md, "\n").alias("md"))
 
 
