@@ -32,7 +32,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = secrets.scan(docs, secrets.fit(docs))
+    found = secrets.scan(docs, secrets.fit_alphabets(docs))
     spans = F.transform(F.arrays_zip("kinds", "starts", "ends"), lambda x: F.concat_ws(":", x["kinds"], x["starts"].cast("string"), x["ends"].cast("string")))
     base = F.filter(spans, lambda x: ~x.startswith("markov:"))
     count = lambda kind: F.size(F.filter("kinds", lambda k: k == kind)).cast("long")

@@ -1,13 +1,14 @@
 """Secret scans: fixed patterns, and character Markov models for the secrets that no pattern names.
 
 The base rules find assignments, access keys and long hex runs. Beside them, each run of 12 or more key characters, letters alone
-included, is scored by two character bigram models, one of random strings and one of ordinary identifiers; a run whose log-likelihood
-ratio is high enough for its length is a span of kind `markov`. Of a run that touches base spans, each part of 12 or more characters
-outside them is scored as a run of its own. The models learn from labelled samples: values of base spans are labelled random, words
-and identifiers outside them ordinary.
+included, is scored by character bigram models, of random strings (one for each alphabet that secrets are written in) and of ordinary
+identifiers; a run whose log-likelihood ratio, of its likeliest alphabet, is high enough for its length is a span of kind `markov`. Of a run
+that touches base spans, each part of 12 or more characters outside them is scored as a run of its own. The models learn from labelled
+samples: values of base spans are labelled random, words and identifiers outside them ordinary, as they stand and in capitals; strings
+made by a keyed hash are labelled random, a bounded number for each alphabet, whatever the table holds.
 
 Cases: null and empty texts have no span; positions count code points, end exclusive; spans are ordered by start, then kind; with
-nothing to learn from, smoothing makes both models uniform and no span is added; repeated rows get equal answers; spans of several
+no identifier to learn from, no span is added; repeated rows get equal answers; spans of several
 kinds may start at one place, then the listed order of kinds decides; a text of any length is searched whole; an empty table gives no
 rows; only the named key and text columns are read, and only the key is passed on.
 """
@@ -42,6 +43,13 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 N = len(ALPHABET) + 1  # the last symbol stands for the start
 CODE = np.full(128, N - 1, dtype=np.int64)
 CODE[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
+#: Alphabets of the random strings that are made as labelled samples, and how many strings of each are made.
+UPPER, LOWER, DIGITS = ALPHABET[:26], ALPHABET[26:52], ALPHABET[52:62]
+MADE = {
+    "hex": DIGITS + "abcdef", "hex_upper": DIGITS + "ABCDEF", "base32": UPPER + "234567", "lower": LOWER, "upper": UPPER, "letters": UPPER + LOWER, "base36": LOWER + DIGITS, "base36_upper": UPPER + DIGITS,
+    "base62": UPPER + LOWER + DIGITS, "base64": UPPER + LOWER + DIGITS + "+/", "base64_url": UPPER + LOWER + DIGITS + "_-",
+}
+SAMPLES = 4_000
 
 
 def base_spans(text: str) -> list[tuple[int, str, int]]:
@@ -58,8 +66,14 @@ def bigrams(run: str) -> np.ndarray:
     return np.concatenate(([N - 1], c[:-1])) * N + c
 
 
-def fit(docs: DataFrame, text: str = "text", max_docs: int = 40_000) -> np.ndarray:
-    """The log-likelihood ratio of each bigram (random over ordinary), from about max_docs rows chosen by a hash of the whole row."""
+def made_strings(alphabet: str, n: int, key: str) -> list[str]:
+    """n random strings of 12 to 47 characters of an alphabet, always the same ones for a key."""
+    drawn = np.frombuffer(hashlib.shake_256(f"{key}:{alphabet}".encode()).digest(4 * 48 * n), dtype=np.uint32) % len(alphabet)
+    return ["".join(row[: 12 + i % 36]) for i, row in enumerate(np.array(list(alphabet))[drawn].reshape(n, 48))]
+
+
+def _counts(docs: DataFrame, text: str, max_docs: int) -> np.ndarray:
+    """How often each bigram occurs in the values of base spans (0) and in the identifiers outside them (1)."""
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = np.zeros((2, N * N), dtype=np.int64)
@@ -80,13 +94,42 @@ def fit(docs: DataFrame, text: str = "text", max_docs: int = 40_000) -> np.ndarr
     counts = np.zeros((2, N, N))
     for kind, pair, n in rows.mapInPandas(count, "kind long, pair long, n long").groupBy("kind", "pair").agg(F.sum("n")).collect():
         counts[kind, pair // N, pair % N] = n  # 2 * 67 * 67 rows at most
-    counts += 0.5
-    random, ordinary = (np.log(c / c.sum(axis=1, keepdims=True)) for c in counts)
-    return (random - ordinary).ravel()
+    return counts
+
+
+def _log(counts: np.ndarray) -> np.ndarray:
+    """The log-likelihood of each bigram after its first character."""
+    smooth = counts.reshape(N, N) + 0.5
+    return np.log(smooth / smooth.sum(axis=1, keepdims=True)).ravel()
+
+
+def fit(docs: DataFrame, text: str = "text", max_docs: int = 40_000) -> np.ndarray:
+    """The log-likelihood ratio of each bigram (random over ordinary) by the labels of a table alone, from about max_docs rows chosen by a hash of the whole row."""
+    random, ordinary = _counts(docs, text, max_docs)
+    return _log(random) - _log(ordinary)
+
+
+def fit_alphabets(docs: DataFrame, text: str = "text", max_docs: int = 40_000, samples: int = SAMPLES) -> np.ndarray:
+    """The log-likelihood ratios of each bigram, a row for the values found in the table and one for each alphabet of MADE.
+
+    Ordinary identifiers count as they stand and in capitals, so that words in capitals are as ordinary as others.
+    """
+    found, ordinary = _counts(docs, text, max_docs)
+    if not ordinary.any():
+        return np.zeros((1, N * N))
+    capital = np.arange(N)
+    capital[26:52] -= 26
+    both = ordinary.copy()
+    np.add.at(both, (capital[:, None], capital[None, :]), ordinary)
+    random = [np.bincount(np.concatenate([bigrams(s) for s in made_strings(a, samples, "labelled")]), minlength=N * N) for a in MADE.values()]
+    return np.array([_log(x) for x in (found, *random)]) - _log(both)
 
 
 def scan(docs: DataFrame, ratio: np.ndarray, key: str = "doc_id", text: str = "text", min_total: float = 24.0, min_mean: float = 0.9) -> DataFrame:
-    """One row a document: key, kinds, starts, ends (arrays, ordered) and the log-likelihood ratio of the markov spans in `ratios`."""
+    """One row a document: key, kinds, starts, ends (arrays, ordered) and the log-likelihood ratio of the markov spans in `ratios`.
+
+    ratio: what `fit` or `fit_alphabets` learned; of several rows the largest sum counts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "t"):
@@ -106,7 +149,8 @@ def _spans(text: str, ratio: np.ndarray, min_total: float, min_mean: float) -> l
     found: list[tuple[int, str, int, float | None]] = [(*x, None) for x in base]
     for m in RUN.finditer(text):
         for s, e in _uncovered(*m.span(), base):
-            total = float(ratio[bigrams(text[s:e])].sum())
+            pairs = bigrams(text[s:e])
+            total = max(float(row[pairs].sum()) for row in np.atleast_2d(ratio))
             if total >= least_ratio(e - s, min_total, min_mean):
                 found.append((s, "markov", e, total))
     return found
