@@ -160,6 +160,14 @@ def test_near_duplicates_stage_keeps_one_row_of_each_class(spark):
     assert sum(n for r, n in got.items() if r[0] is None) == 3
 
 
+def test_near_duplicates_stage_returns_a_small_plan(spark, capsys):
+    frame = P.near_duplicates_stage(spark, spark.createDataFrame(full(ROWS), TYPES).repartition(3), "")
+    capsys.readouterr()
+    frame.explain()
+    plan = capsys.readouterr().out
+    assert 0 < plan.count("Exchange") <= 8 and plan.count("Scan parquet") <= 2  # the rows, those that clash and those that stay
+
+
 def test_line_dedup_stage(spark):
     got = {r[0]: r for r in stage(spark, "line_dedup", full(ROWS)) if r[0] in (7, 8, 9)}
     assert [LINE in got[k][1] for k in (7, 8, 9)] == [False, False, True] and all(len(r[1]) == r[4] for r in got.values())
